@@ -12,7 +12,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 RUNS: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 
-SUBJECTS = ["retrieval"]
+SUBJECTS = ["retrieval", "files", "extraction"]
 ALL = [
     "retrieval", "files", "extraction", "chunking", "embedding",
     "memo", "catalog", "conversations", "titles", "telemetry", "streams",

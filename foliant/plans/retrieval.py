@@ -65,9 +65,9 @@ kept AS (
 
 FINAL_SQL = f"""final AS (
   SELECT query_id, chunk_id, top_k, score * {BOOST_SQL} AS score,
-         row_number() OVER (PARTITION BY query_id ORDER BY score * {BOOST_SQL} DESC, chunk_id) AS rank
+         row_number() OVER (PARTITION BY query_id ORDER BY score * {BOOST_SQL} DESC, chunk_id) AS place
   FROM (SELECT k.*, c.text FROM kept k JOIN chunks c ON c.chunk_id = k.chunk_id)
-  QUALIFY rank <= top_k)"""
+  QUALIFY place <= top_k)"""
 
 SEARCH_SQL = f"""WITH RECURSIVE {I.CHUNKS}, {I.QUERIES}, {I.CANDIDATES},
 scored AS MATERIALIZED (SELECT * FROM cand WHERE score >= threshold), {GRAMS_SQL}, {KEPT_SQL}, {FINAL_SQL}"""
@@ -202,7 +202,7 @@ def without_near_duplicates(spark, sf):
     )
 
 
-@query(f"{SEARCH_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, rank FROM final")
+@query(f"{SEARCH_SQL} SELECT query_id, chunk_id, round(score, 6) AS score, place AS rank FROM final")
 def retrieve_chunks(spark, sf):
     """The whole search for every query."""
     return _out(R.retrieve(I.vector_queries(spark, sf), I.chunks(spark, sf)))

@@ -61,7 +61,7 @@ def main(argv: list[str]) -> int:
     sf_dir = f"/root/testdata/sf{sf}"
     names = argv[1:]
     spark = build_session(8, **{"spark.ui.showConsoleProgress": "false"})
-    spark.sparkContext.setLogLevel("ERROR")
+    spark.sparkContext.setLogLevel("OFF")
     con = connect(sf_dir)
     oracles, bad = entry.oracle_sql(), 0
     for name, run in entry.queries().items():
