@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(cores: int | str = "*", app: str = "foliant", **conf) -> SparkSession:
@@ -47,3 +47,14 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
         root = _LOCAL_ROOTS.setdefault(app, "") or tempfile.mkdtemp(prefix="foliant-")
         _LOCAL_ROOTS[app] = root
     return f"{root.rstrip('/')}/foliant/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialise(df: DataFrame, purpose: str) -> DataFrame:
+    """Writes a table to the shared folder and reads it back.
+
+    For a result that is read more than once and costly to make (chunks, vectors): its lineage
+    ends here, so neither reuse nor a lost executor computes it again.
+    """
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
