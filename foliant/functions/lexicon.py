@@ -87,6 +87,14 @@ SLOW_THRESHOLDS_MS = {
     "messageProcessing": 3000,
     "fileUpload": 60000,
 }
+# import stages in order, with the progress a new document starts at
+IMPORT_STAGES = [
+    ("Initialize", "Finished"),
+    ("Parse", "Not Started"),
+    ("Split", "Not Started"),
+    ("Embed", "Not Started"),
+    ("Save Excerpts", "Not Started"),
+]
 # first matching row wins; needles are compared with the lower-cased message
 ERROR_TYPES = [
     (["spawn", "enoent"], "PROCESS_SPAWN"),

@@ -12,8 +12,7 @@ Run = Callable[[SparkSession, str], DataFrame]
 RUNS: dict[str, Run] = {}
 ORACLES: dict[str, str] = {}
 
-SUBJECTS = ["retrieval", "files", "extraction", "chunking", "embedding", "memo", "catalog", "conversations", "titles"]
-ALL = [
+SUBJECTS = [
     "retrieval", "files", "extraction", "chunking", "embedding",
     "memo", "catalog", "conversations", "titles", "telemetry", "streams",
 ]
