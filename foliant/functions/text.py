@@ -5,6 +5,7 @@ Whitespace is Python's ``str.isspace`` set, spelled out so that Java, RE2 and Py
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -17,17 +18,22 @@ WS_SET = (
     r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 )
 WS = f"[{WS_SET}]"
-NOT_WS = f"[^{WS_SET}]"
 WS_CHARS = "".join(
     chr(c)
     for c in [*range(9, 14), *range(28, 33), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B)]
     + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
 )
-SENTENCE_BREAK = rf"\.(?={WS}+[A-Z])"
+# between a full stop and the whitespace that leads to an ASCII capital
+SENTENCE_BREAK = rf"(?<=\.)(?={WS}+[A-Z])"
 # every start position that is not the middle of a surrogate pair, with the three code points there
 TRIGRAM = r"(?s)(?!\p{Cs})(?=(.{3}))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where a lambda uses it per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def strip(c: Column) -> Column:
     return F.trim(c, F.lit(WS_CHARS))
 
@@ -37,25 +43,25 @@ def is_blank(c: Column) -> Column:
 
 
 def words(c: Column) -> Column:
-    """Whitespace-separated words, in order."""
-    return F.regexp_extract_all(c, F.lit(f"({NOT_WS}+)"), 1)
+    """Whitespace-separated words, in order.
+
+    All whitespace becomes a plain space first: splitting on one fixed character needs no regex.
+    """
+    spaced = F.translate(c, WS_CHARS, " " * len(WS_CHARS))
+    return F.array_remove(F.split(spaced, " ", -1), "")
 
 
 def count_tokens(c: Column) -> Column:
     """Whitespace word count, 0 for null or empty."""
-    return F.coalesce(F.regexp_count(c, F.lit(f"{NOT_WS}+")), F.lit(0))
+    return F.coalesce(F.size(words(c)), F.lit(0))
 
 
 def split_sentences(c: Column) -> Column:
     """Split after a full stop that is followed by whitespace and an ASCII capital."""
-    pieces = F.split(c, SENTENCE_BREAK, -1)
-    last = F.size(pieces) - 1
-
-    def piece(x: Column, i: Column) -> Column:
-        body = strip(x)
-        return F.when(body != "", F.when(i < last, F.concat(body, F.lit("."))).otherwise(body))
-
-    return F.array_compact(F.transform(pieces, piece))
+    pieces = F.transform(F.split(c, SENTENCE_BREAK, -1), strip)
+    return F.when(strip(c) == ".", F.array(F.lit("."))).otherwise(
+        F.filter(pieces, lambda x: ~x.isin("", "."))
+    )
 
 
 def word_windows(c: Column, size: int, overlap: int) -> Column:
@@ -63,11 +69,14 @@ def word_windows(c: Column, size: int, overlap: int) -> Column:
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
     step = size - overlap
-    w = words(c)
-    n = F.size(w)
-    starts = F.sequence(F.lit(0), F.greatest(F.ceil((n - size) / F.lit(step)), F.lit(0)).cast("int"))
-    windows = F.transform(starts, lambda i: F.array_join(F.slice(w, i * step + 1, size), " "))
-    return F.when(n <= size, F.array(c)).otherwise(windows)
+
+    def cut(w: Column) -> Column:
+        last = F.greatest(F.ceil((F.size(w) - size) / F.lit(step)), F.lit(0)).cast("int")
+        return F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.array_join(F.slice(w, i * step + 1, size), " ")
+        )
+
+    return F.when(count_tokens(c) <= size, F.array(c)).otherwise(let(words(c), cut))
 
 
 def trigrams(c: Column) -> Column:
