@@ -26,7 +26,7 @@ BLOCKS = (
     rf"(?<![^\n])(?:"
     rf"{_TABLE}[^\n]*+(?:\n[^\n|]*+\|[^\n]*+)*+"
     rf"|{_FENCE}[^\n]*+(?:\n(?!{_FENCE})[^\n]*+)*+(?:\n{_FENCE}[^\n]*+)?+"
-    rf"|{_ITEM}[^\n]*+(?:(?:\n[{X.WS_SET}&&[^\n]]*+)?+\n{_ITEM}[^\n]*+)*+"
+    rf"|{_ITEM}[^\n]*+(?:\n(?:[{X.WS_SET}&&[^\n]]*+\n)?+{_ITEM}[^\n]*+)*+"
     rf"|[^\n]*+(?:\n(?!{_TABLE}|{_FENCE}|{_ITEM})[^\n]*+)*+"
     rf")(?![^\n])"
 )

@@ -57,7 +57,7 @@ def packed_sql(size: int, overlap: int) -> str:
 @query(f"SELECT doc_id, {I.tokens_sql('text')} AS tokens FROM documents")
 def token_counts(spark, sf):
     """Whitespace word count."""
-    return I.table(spark, sf, "documents").select("doc_id", X.count_tokens(F.col("text")).alias("tokens"))
+    return I.texts(spark, sf, "documents").select("doc_id", X.count_tokens(F.col("text")).alias("tokens"))
 
 
 @query(
@@ -66,7 +66,7 @@ def token_counts(spark, sf):
 )
 def sentences(spark, sf):
     """Sentences of every document."""
-    return I.table(spark, sf, "documents").select(
+    return I.texts(spark, sf, "documents").select(
         "doc_id", F.posexplode(X.split_sentences(F.col("text"))).alias("pos", "sentence")
     )
 
@@ -74,13 +74,13 @@ def sentences(spark, sf):
 @query(f"WITH RECURSIVE {packed_sql(SIZE, OVER)} SELECT doc_id, piece, text FROM chunked")
 def packed_sentences(spark, sf):
     """Greedy packing with carried sentences, default sizes."""
-    return C.pack_sentences(I.table(spark, sf, "documents"), ["doc_id"])
+    return C.pack_sentences(I.texts(spark, sf, "documents"), ["doc_id"])
 
 
 @query(f"WITH RECURSIVE {packed_sql(60, 20)} SELECT doc_id, piece, text FROM chunked")
 def tightly_packed_sentences(spark, sf):
     """Small chunks, where carrying and long sentences happen often."""
-    return C.pack_sentences(I.table(spark, sf, "documents"), ["doc_id"], size=60, overlap=20)
+    return C.pack_sentences(I.texts(spark, sf, "documents"), ["doc_id"], size=60, overlap=20)
 
 
 @query(
@@ -90,7 +90,7 @@ def tightly_packed_sentences(spark, sf):
 )
 def word_windows(spark, sf):
     """C4: word windows of 100 stepping 80 over whole texts."""
-    return I.table(spark, sf, "documents").select(
+    return I.texts(spark, sf, "documents").select(
         "doc_id", F.posexplode(X.word_windows(F.col("text"), 100, 20)).alias("pos", "piece")
     )
 
@@ -104,7 +104,7 @@ def structured(spark, sf):
         .when(i % 16 == 7, F.concat(F.lit("```"), x))
         .otherwise(x),
     )
-    return I.table(spark, sf, "documents").select("doc_id", F.array_join(parts, "\n").alias("text"))
+    return I.texts(spark, sf, "documents").select("doc_id", F.array_join(parts, "\n").alias("text"))
 
 
 @query()
@@ -126,7 +126,7 @@ def structured_chunks(spark, sf):
 @query()
 def document_chunks(spark, sf):
     """Chunks of the documents as they are."""
-    return C.chunk_documents(I.table(spark, sf, "documents")).select(
+    return C.chunk_documents(I.texts(spark, sf, "documents")).select(
         "chunk_id", "doc_id", "position", "structure_type", "tokens", F.md5("text").alias("text_md5")
     )
 
@@ -134,7 +134,7 @@ def document_chunks(spark, sf):
 @query()
 def character_pieces(spark, sf):
     """Recursive character splitting, 500 with 50 overlap."""
-    return C.recursive_char_split(I.table(spark, sf, "documents"))
+    return C.recursive_char_split(I.texts(spark, sf, "documents"))
 
 
 @query(
@@ -145,7 +145,7 @@ def character_pieces(spark, sf):
 )
 def chunk_metadata_fields(spark, sf):
     """Metadata of a chunk: own fields first, then the document's."""
-    d = I.table(spark, sf, "documents")
+    d = I.texts(spark, sf, "documents")
     even = F.col("n_chars") % 2 == 0
     base = F.create_map(
         F.lit("filename"), F.lit("src"), F.lit("courseId"), F.col("lang"),

@@ -187,7 +187,7 @@ titled AS (SELECT n.query_id, c.course_id, c.chat_id, lower(c.title) = n.needle
 )
 def chat_search(spark, sf):
     """M9: passages and names searched in all chats; here documents are messages, sources chats."""
-    d, b = I.table(spark, sf, "documents"), I.table(spark, sf, "benchmark")
+    d, b = I.texts(spark, sf, "documents"), I.table(spark, sf, "benchmark")
     names = d.select("source").distinct().select(
         (F.substring("source", 4, 9).cast("long") + 100000).alias("query_id"),
         F.concat(F.lit(" S"), F.substring("source", 2, 9), F.lit(" ")).alias("query"),

@@ -18,14 +18,14 @@ STORED = f"stored AS (SELECT DISTINCT {KEY} AS text_key FROM documents WHERE lan
 
 def stored(spark, sf):
     """Vectors kept from an earlier run: those of the English documents."""
-    english = I.table(spark, sf, "documents").where("lang = 'en'")
+    english = I.texts(spark, sf, "documents").where("lang = 'en'")
     return M.embed(M.distinct_texts(english)).select("text_key", "embedding")
 
 
 @query()
 def embedded_documents(spark, sf):
     """A vector per document, by the offline model."""
-    return M.embed(I.table(spark, sf, "documents").select("doc_id", "text")).select(
+    return M.embed(I.texts(spark, sf, "documents").select("doc_id", "text")).select(
         "doc_id", F.size("embedding").alias("dimension"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"),
     )
@@ -38,14 +38,14 @@ def embedded_documents(spark, sf):
 )
 def distinct_embeddings(spark, sf):
     """One model call per distinct text, fanned out to all rows."""
-    out = M.embed_distinct(I.table(spark, sf, "documents").select("doc_id", "text"))
+    out = M.embed_distinct(I.texts(spark, sf, "documents").select("doc_id", "text"))
     return out.select("doc_id", "text_key", F.col("embedding").isNotNull().alias("has_vector"))
 
 
 @query(f"SELECT {KEY} AS text_key, count(*) AS uses FROM documents GROUP BY 1")
 def distinct_text_keys(spark, sf):
     """The distinct texts."""
-    return M.distinct_texts(I.table(spark, sf, "documents")).select("text_key", "uses")
+    return M.distinct_texts(I.texts(spark, sf, "documents")).select("text_key", "uses")
 
 
 @query(
@@ -54,7 +54,7 @@ def distinct_text_keys(spark, sf):
 )
 def texts_without_vector(spark, sf):
     """Texts that an incremental run has to embed."""
-    return M.texts_to_embed(I.table(spark, sf, "documents"), stored(spark, sf)).select(
+    return M.texts_to_embed(I.texts(spark, sf, "documents"), stored(spark, sf)).select(
         "text_key", "uses"
     )
 
@@ -62,7 +62,7 @@ def texts_without_vector(spark, sf):
 @query(f"SELECT DISTINCT {KEY} AS text_key FROM documents")
 def incremental_vectors(spark, sf):
     """The vector table after an incremental run."""
-    return M.embed_incremental(I.table(spark, sf, "documents"), stored(spark, sf)).select("text_key")
+    return M.embed_incremental(I.texts(spark, sf, "documents"), stored(spark, sf)).select("text_key")
 
 
 GATED = """c AS (SELECT source AS doc_id, doc_id AS chunk_id,
@@ -74,7 +74,7 @@ v AS (SELECT doc_id, count(*) AS chunks, count(*) FILTER (NOT embedded) AS failu
 def _gated(spark, sf):
     number = F.substring("source", 4, 3).cast("int")
     return M.embedding_gate(
-        I.table(spark, sf, "documents").select(
+        I.texts(spark, sf, "documents").select(
             F.col("source").alias("doc_id"),
             F.col("doc_id").alias("chunk_id"),
             F.when(F.col("n_chars") % 100 >= number * 4, F.array(F.lit(1.0))).alias("embedding"),
@@ -109,13 +109,13 @@ def vector_dimensions(spark, sf):
 )
 def vector_reuse(spark, sf):
     """How often a vector is reused."""
-    out = M.reuse_stats(I.table(spark, sf, "documents"), stored(spark, sf))
+    out = M.reuse_stats(I.texts(spark, sf, "documents"), stored(spark, sf))
     return out.withColumn("hit_rate", F.round("hit_rate", 6))
 
 
 def ingest_docs(spark, sf):
     """Documents with the outcome of their extraction; toxic ones count as failed."""
-    d = I.table(spark, sf, "documents").join(I.table(spark, sf, "labels"), "doc_id", "left")
+    d = I.texts(spark, sf, "documents").join(I.table(spark, sf, "labels"), "doc_id", "left")
     return d.select(
         "doc_id",
         F.when(F.col("n_chars") % 10 == 0, "  ").otherwise(F.col("text")).alias("text"),
@@ -150,14 +150,14 @@ def ingest_reports(spark, sf):
 @query()
 def ingested_chunks(spark, sf):
     """Documents to chunks with vectors in one job."""
-    kept, _ = G.ingest(I.table(spark, sf, "documents").select("doc_id", "text"))
+    kept, _ = G.ingest(I.texts(spark, sf, "documents").select("doc_id", "text"))
     return kept.select("chunk_id", "doc_id", "tokens", F.size("embedding").alias("dimension"))
 
 
 @query()
 def answered_passages(spark, sf):
     """R19 end to end: benchmark passages as questions over the chunked, embedded documents."""
-    kept, _ = G.ingest(I.table(spark, sf, "documents").select("doc_id", "text"))
+    kept, _ = G.ingest(I.texts(spark, sf, "documents").select("doc_id", "text"))
     asked = M.embed(
         I.table(spark, sf, "benchmark").select(
             F.col("item_id").alias("query_id"), F.col("text").alias("query")

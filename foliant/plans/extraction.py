@@ -167,7 +167,7 @@ def cells(spark, sf):
 @query()
 def html_pages(spark, sf):
     """HTML to title, visible text and length."""
-    return E.html_to_text(I.table(spark, sf, "pages")).select(
+    return E.html_to_text(I.texts(spark, sf, "pages")).select(
         "page_id", "title", "char_count", F.md5("text").alias("text_md5")
     )
 
@@ -394,7 +394,7 @@ def corrected_pages(spark, sf):
 )
 def correction_pieces(spark, sf):
     """Sentence pieces for correction (500 characters here)."""
-    return I.table(spark, sf, "documents").select(
+    return I.texts(spark, sf, "documents").select(
         "doc_id", F.posexplode(E.split_for_correction(F.col("text"), 500)).alias("pos", "piece")
     )
 

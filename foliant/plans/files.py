@@ -84,7 +84,7 @@ def scanned_files(spark, sf):
 )
 def text_measures(spark, sf):
     """Bytes to text with line, word and character counts."""
-    docs = I.table(spark, sf, "documents").select(
+    docs = I.texts(spark, sf, "documents").select(
         "doc_id", F.col("text").cast("binary").alias("content")
     )
     return SF.text_docs(docs).select("doc_id", "line_count", "word_count", "char_count")
@@ -169,7 +169,7 @@ def json_logs(spark, sf):
 
 def token_lines(spark, sf):
     """Conversation words as stream lines: both JSON shapes, some blank or broken."""
-    w = I.table(spark, sf, "conversations").select(
+    w = I.texts(spark, sf, "conversations").select(
         "conv_id", "turn", F.posexplode(X.words(F.col("text"))).alias("seq", "word")
     )
     token = F.concat("word", F.lit(" "))

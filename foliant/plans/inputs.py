@@ -5,11 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import spread
+
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A text table for heavy per-row work."""
+    return spread(table(spark, sf, name))
+
+
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     """A stored vector with the text of the document of the same number."""
     e, d = table(spark, sf, "embeddings"), table(spark, sf, "documents")

@@ -148,7 +148,7 @@ def metadata_filtered_chunks(spark, sf):
 )
 def turn_similarity(spark, sf):
     """Trigram Jaccard of every turn with the turn before it."""
-    t = I.table(spark, sf, "conversations").select(
+    t = I.texts(spark, sf, "conversations").select(
         "conv_id", "turn", X.trigrams(F.col("text")).alias("g")
     )
     before = t.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("g").alias("h"))

@@ -38,7 +38,7 @@ def simple_titles(spark, sf):
 
 def replies(spark, sf):
     """Model replies: numbered lines of a turn, or its comma parts after an empty line."""
-    c = I.table(spark, sf, "conversations")
+    c = I.texts(spark, sf, "conversations")
     lines = F.array_join(
         F.transform(
             F.split("text", r"\. "), lambda x, i: F.concat((i + 1).cast("string"), F.lit(". Title: **"), x, F.lit("**"))

@@ -32,6 +32,15 @@ def build_session(cores: int | str = "*", app: str = "foliant", **conf) -> Spark
     return builder.getOrCreate()
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deals the rows of a table that comes in fewer splits than there are cores to all cores.
+
+    For work that is much heavier than its input. A table of many files is left as it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 _LOCAL_ROOTS: dict[str, str] = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip
@@ -88,19 +88,18 @@ def read_json_logs(spark: SparkSession, path: str) -> DataFrame:
     return parse_json_logs(spark.read.text(path))
 
 
-def token_content(line: Column) -> Column:
-    """The token of one stream line: chat shape first, else generate shape; null if neither."""
-    j = F.from_json(line, "message struct<content:string>, response string, done boolean")
-    chat = j["message"]["content"]
-    return F.coalesce(F.when(chat != "", chat), F.when(j["response"] != "", j["response"]))
-
-
 def parse_token_stream(lines: DataFrame) -> DataFrame:
-    """Adds ``token`` and ``done``; blank and invalid lines and lines with neither are dropped."""
-    j = F.from_json("line", "done boolean")
+    """Adds ``token`` and ``done``; blank and invalid lines and lines with neither are dropped.
+
+    The chat shape's content comes first, else the generate shape's response.
+    """
+    j = F.from_json("line", "message struct<content:string>, response string, done boolean")
+    chat, plain = F.col("_j.message.content"), F.col("_j.response")
     return (
         lines.where(strip(F.col("line")) != "")
-        .withColumn("token", token_content(F.col("line")))
-        .withColumn("done", F.coalesce(j["done"], F.lit(False)))
+        .withColumn("_j", j)
+        .withColumn("token", F.coalesce(F.when(chat != "", chat), F.when(plain != "", plain)))
+        .withColumn("done", F.coalesce("_j.done", F.lit(False)))
+        .drop("_j")
         .where(F.col("token").isNotNull() | F.col("done"))
     )
