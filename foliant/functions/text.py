@@ -31,7 +31,7 @@ TRIGRAM = r"(?s)(?!\p{Cs})(?=(.{3}))"
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of a value that is computed once, also where a lambda uses it per element."""
-    return F.transform(F.array(value), body)[0]
+    return F.transform(F.array(value), lambda v: body(v))[0]
 
 
 def strip(c: Column) -> Column:

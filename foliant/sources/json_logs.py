@@ -21,8 +21,7 @@ LOG_FIELDS = ["timestamp", "level", "logger", "message", "module", "function", "
 def _read_whole(spark: SparkSession, path: str) -> DataFrame:
     return (
         spark.read.option("recursiveFileLookup", "true")
-        .option("wholetext", "true")
-        .text(path)
+        .text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("json"))
     )
 
