@@ -133,11 +133,12 @@ def content_hash(c: Column) -> Column:
 def format_size(c: Column) -> Column:
     """Bytes as text with 1024 steps and one decimal."""
     v = c.cast("double")
+    # exact halves go to the even digit
     out = F.when(v < 1024, F.format_string("%.1f B", v))
     for step, unit in enumerate(["KB", "MB", "GB"], start=1):
         scaled = v / F.lit(float(1024**step))
-        out = out.when(scaled < 1024, F.format_string(f"%.1f {unit}", scaled))
-    return out.otherwise(F.format_string("%.1f TB", v / F.lit(float(1024**4))))
+        out = out.when(scaled < 1024, F.format_string(f"%.1f {unit}", F.bround(scaled, 1)))
+    return out.otherwise(F.format_string("%.1f TB", F.bround(v / F.lit(float(1024**4)), 1)))
 
 
 def case_first(c: Column, rules: list[tuple[list[str], str]], default: Column | str) -> Column:

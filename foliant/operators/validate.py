@@ -129,7 +129,7 @@ def ocr_admissible(size_mb: Column, pages: Column) -> Column:
         F.format_string(
             f"File is too large for OCR processing (%.1fMB). Maximum supported size is {max_mb}MB. "
             "Please use a smaller file or split the PDF into smaller parts.",
-            size_mb,
+            F.bround(size_mb, 1),
         ),
     ).when(
         pages > L.OCR_MAX_PAGES,

@@ -12,25 +12,32 @@ from ..session import shared_dir
 TIMEOUT_SECONDS = 3600
 
 
+ROWS_PER_TASK = 200
+
+
 def replay(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
-    """A table as a stream of ``parts`` micro-batches in the order of a numeric column.
+    """A stored table as a stream of about ``parts`` micro-batches, in the order of a number.
 
-    Each part is a file set of its own, written one after the other: the file source takes
-    older files first. For replaying stored events; live streams are read directly.
+    The parts are ranges of equal size, written one after the other with equally many files, so
+    that the file source, which takes older files first, makes each part one micro-batch. Live
+    streams are read directly.
     """
     spark = df.sparkSession
     path = shared_dir(spark, "replay")
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    lo, hi = (0, 0) if lo is None else (lo, hi)
-    width = (hi - lo) // parts + 1
-    for i in range(parts):
-        low = lo + i * width
-        part = df.where((F.col(order) >= low) & (F.col(order) < low + width))
-        part.write.parquet(f"{path}/{i:04d}")
-    files = len(spark.read.schema(df.schema).parquet(f"{path}/0000").inputFiles())
+    cuts = [i / parts for i in range(1, parts)]
+    rows, quantiles = df.agg(
+        F.count(order), F.percentile_approx(order, F.array(*map(F.lit, cuts)), 10000)
+    ).first()
+    bounds = sorted(set(quantiles or []))
+    cores = spark.sparkContext.defaultParallelism
+    files = cores if rows >= parts * cores * ROWS_PER_TASK else 1
+    for i, (low, high) in enumerate(zip([None, *bounds], [*bounds, None])):
+        part = df if low is None else df.where(F.col(order) > low)
+        part = part if high is None else part.where(F.col(order) <= high)
+        part.repartition(files).write.parquet(f"{path}/{i:04d}")
     return (
         spark.readStream.schema(df.schema)
-        .option("maxFilesPerTrigger", max(1, files))
+        .option("maxFilesPerTrigger", files)
         .parquet(f"{path}/*")
     )
 
