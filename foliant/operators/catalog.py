@@ -12,8 +12,8 @@ from ..functions.text import format_size
 def delete_documents(chunks: DataFrame, doc_ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(chunks left, per requested document: chunks deleted and whether it was there)."""
     asked = doc_ids.select("doc_id").distinct()
-    left = chunks.join(asked, "doc_id", "left_anti")
-    gone = chunks.join(asked, "doc_id", "left_semi").groupBy("doc_id").agg(
+    left = lookup(chunks, asked, ["doc_id"], "left_anti")
+    gone = lookup(chunks, asked, ["doc_id"], "left_semi").groupBy("doc_id").agg(
         F.count("*").alias("chunks_deleted")
     )
     report = asked.join(gone, "doc_id", "left").select(

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
+from ..functions.ordered import lookup
 from ..functions.text import strip
 
 TITLE_TAGS = {"h1", "h2", "h3", "title"}
@@ -369,7 +370,7 @@ def apply_corrections(pages: DataFrame, corrections: DataFrame) -> DataFrame:
         & (F.col("_offer") != F.col("text"))
     )
     return (
-        pages.join(poor, "doc", "left")
+        lookup(pages, poor, ["doc"])
         .join(offered, ["doc", "page"], "left")
         .select(
             "doc", "page",

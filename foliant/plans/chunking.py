@@ -107,7 +107,34 @@ def structured(spark, sf):
     return I.texts(spark, sf, "documents").select("doc_id", F.array_join(parts, "\n").alias("text"))
 
 
-@query()
+# line kinds, then a walk that carries the kind of the open block from line to line
+BLOCKS_SQL = f"""line AS MATERIALIZED (
+  SELECT doc_id, i, line, CASE WHEN starts_with({I.strip_sql("line")}, '|') THEN 'table'
+      WHEN starts_with({I.strip_sql("line")}, '```') THEN 'code'
+      WHEN regexp_matches(line, '^{I.WS_RE}*([-*•]|\\d+\\.){I.WS_RE}') THEN 'list' ELSE 'text' END AS kind,
+    contains(line, '|') AS bar, {I.strip_sql("line")} = '' AS blank
+  FROM (SELECT doc_id, generate_subscripts(l, 1) AS i, unnest(l) AS line FROM (
+    SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x, i: CASE WHEN (i - 1) % 8 = 3 THEN '- ' || x
+      WHEN (i - 1) % 8 = 5 THEN '| ' || x || ' |' WHEN (i - 1) % 16 = 7 THEN '```' || x ELSE x END) AS l FROM documents))),
+ahead AS MATERIALIZED (SELECT *, lead(kind) OVER (PARTITION BY doc_id ORDER BY i) AS after FROM line),
+walk AS (
+  SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS b, 'text' AS kind, false AS closed FROM documents
+  UNION ALL
+  SELECT l.doc_id, l.i, CASE WHEN stays THEN w.b ELSE w.b + 1 END, CASE WHEN stays THEN w.kind ELSE l.kind END,
+    stays AND w.kind = 'code' AND l.kind = 'code'
+  FROM walk w JOIN ahead l ON l.doc_id = w.doc_id AND l.i = w.i + 1,
+  LATERAL (SELECT w.b > 0 AND CASE w.kind WHEN 'table' THEN l.bar WHEN 'code' THEN NOT w.closed
+    WHEN 'list' THEN l.kind = 'list' OR (l.blank AND l.after = 'list') ELSE l.kind = 'text' END AS stays)),
+block AS (
+  SELECT w.doc_id, w.b, any_value(w.kind) AS type, string_agg(l.line, chr(10) ORDER BY l.i) AS raw
+  FROM walk w JOIN line l ON l.doc_id = w.doc_id AND l.i = w.i GROUP BY w.doc_id, w.b),
+kept AS (SELECT doc_id, b, type, CASE WHEN type = 'text' THEN {I.strip_sql("raw")} ELSE raw END AS content FROM block)"""
+
+
+@query(
+    f"""WITH RECURSIVE {BLOCKS_SQL} SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY b) - 1 AS block, type,
+      md5(content) AS content_md5 FROM kept WHERE content <> ''"""
+)
 def text_blocks(spark, sf):
     """Tables, code, lists and text in order."""
     return C.segment_blocks(structured(spark, sf)).select(
@@ -123,7 +150,10 @@ def structured_chunks(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {packed_sql(SIZE, OVER)} SELECT doc_id || '_chunk_' || piece AS chunk_id, doc_id, piece AS position,
+      'text' AS structure_type, {I.tokens_sql("text")} AS tokens, md5(text) AS text_md5 FROM chunked"""
+)
 def document_chunks(spark, sf):
     """Chunks of the documents as they are."""
     return C.chunk_documents(I.texts(spark, sf, "documents")).select(

@@ -10,6 +10,7 @@ from ..operators import ingest as G
 from ..operators import retrieve as R
 from ..session import materialise
 from . import inputs as I
+from .chunking import packed_sql
 from .registry import query
 
 KEY = f"md5({I.strip_sql('lower(text)')})"
@@ -22,11 +23,14 @@ def stored(spark, sf):
     return M.embed(M.distinct_texts(english)).select("text_key", "embedding")
 
 
-@query()
+@query(
+    f"""SELECT doc_id, CASE WHEN {I.strip_sql("text")} <> '' THEN 64 END AS dimension,
+    CASE WHEN {I.strip_sql("text")} <> '' THEN 1.0::DOUBLE END AS length FROM documents"""
+)
 def embedded_documents(spark, sf):
     """A vector per document, by the offline model."""
     return M.embed(I.texts(spark, sf, "documents").select("doc_id", "text")).select(
-        "doc_id", F.size("embedding").alias("dimension"),
+        "doc_id", F.when(F.col("embedding").isNotNull(), F.size("embedding")).alias("dimension"),
         F.round(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x), 3).alias("length"),
     )
 
@@ -147,7 +151,10 @@ def ingest_reports(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {packed_sql(C.CHUNK_SIZE, C.OVERLAP)} SELECT doc_id || '_chunk_' || piece AS chunk_id, doc_id,
+      {I.tokens_sql("text")} AS tokens, 64 AS dimension FROM chunked"""
+)
 def ingested_chunks(spark, sf):
     """Documents to chunks with vectors in one job."""
     kept, _ = G.ingest(I.texts(spark, sf, "documents").select("doc_id", "text"))

@@ -30,33 +30,31 @@ def stored_chunks(chunks: DataFrame, vectors: DataFrame) -> DataFrame:
 
 
 def write_chunks(stored: DataFrame, path: str, version: int = 0) -> None:
-    """Appends one version of the documents' chunks; one folder per bucket of documents.
+    """Writes one version of the documents' chunks; below it one folder per bucket of documents.
 
     Rows are dealt by (bucket, chunk id), not by document, so that one large document or
-    bucket is written by several tasks.
+    bucket is written by several tasks. Writing a version again replaces it.
     """
     (
-        stored.withColumn("version", F.lit(version))
-        .repartition("doc_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
+        stored.repartition("doc_bucket", F.pmod(F.xxhash64("chunk_id"), F.lit(16)))
         .write.partitionBy("doc_bucket")
-        .mode("append")
-        .parquet(path)
+        .mode("overwrite")
+        .parquet(f"{path}/version={version}")
     )
 
 
 def current_chunks(table: DataFrame) -> DataFrame:
-    """The chunks of each document's latest version, once each: a re-ingest replaces."""
+    """The chunks of each document's latest version: a re-ingested document replaces its chunks."""
     latest = table.groupBy("doc_id").agg(F.max("version").alias("_latest"))
     return (
         lookup(table, latest, ["doc_id"], "inner")
         .where("version = _latest")
         .drop("_latest", "version")
-        .dropDuplicates(["chunk_id"])
     )
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return current_chunks(spark.read.parquet(path))
+    return current_chunks(spark.read.option("basePath", path).parquet(f"{path}/version=*"))
 
 
 def export_json(df: DataFrame, path: str) -> None:
