@@ -12,12 +12,12 @@ from .registry import query
 SIZE, OVER = C.CHUNK_SIZE, C.OVERLAP
 
 
-def packed_sql(size: int, overlap: int) -> str:
+def packed_sql(size: int, overlap: int, source: str = "documents") -> str:
     """CTEs up to ``packed(doc_id, hi, lo, sub, text)``: greedy packing as a walk over sentences."""
     return f"""sent AS MATERIALIZED (
       SELECT doc_id, i, s, {I.tokens_sql("s")} AS n FROM (
         SELECT doc_id, generate_subscripts(l, 1) - 1 AS i, unnest(l) AS s
-        FROM (SELECT doc_id, {I.sentences_sql("text")} AS l FROM documents))),
+        FROM (SELECT doc_id, {I.sentences_sql("text")} AS l FROM {source}))),
     cum AS MATERIALIZED (SELECT *, sum(n) OVER (PARTITION BY doc_id ORDER BY i) - n AS before FROM sent),
     -- the earliest sentence that a chunk starting at i may carry over
     carry AS MATERIALIZED (
@@ -26,7 +26,7 @@ def packed_sql(size: int, overlap: int) -> str:
       GROUP BY a.doc_id, a.i, a.s, a.n, a.before),
     walk AS (
       SELECT doc_id, 0::BIGINT AS i, 0::BIGINT AS start, NULL::BIGINT AS flush_from, NULL::BIGINT AS flush_to,
-             false AS long FROM documents
+             false AS long FROM {source}
       UNION ALL
       SELECT w.doc_id, w.i + 1,
         CASE WHEN c.n > {size} THEN c.i + 1
@@ -142,7 +142,19 @@ def text_blocks(spark, sf):
     )
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {BLOCKS_SQL.replace("walk AS", "block_walk AS").replace("FROM walk w", "FROM block_walk w")},
+    sized AS MATERIALIZED (SELECT doc_id AS doc, b, type, content, type IN ('table', 'code')
+        OR (type = 'list' AND {I.tokens_sql("content")} <= {SIZE * C.LIST_SLACK}) AS whole FROM kept WHERE content <> ''),
+    unit AS MATERIALIZED (SELECT doc || '#' || b AS doc_id, content AS text FROM sized WHERE NOT whole),
+    {packed_sql(SIZE, OVER, "unit")},
+    pieces AS (
+      SELECT doc, b, 0 AS piece, type, content AS text FROM sized WHERE whole
+      UNION ALL SELECT s.doc, s.b, c.piece, s.type, c.text FROM sized s JOIN chunked c ON c.doc_id = s.doc || '#' || s.b)
+    SELECT doc || '_chunk_' || row_number() OVER (PARTITION BY doc ORDER BY b, piece) - 1 AS chunk_id, type AS structure_type,
+      {I.tokens_sql("text")} AS tokens, CASE WHEN type = 'text' THEN len({I.sentences_sql("text")}) END AS sentence_count,
+      md5(text) AS text_md5 FROM pieces"""
+)
 def structured_chunks(spark, sf):
     """Chunks of documents with structure."""
     return C.chunk_documents(structured(spark, sf)).select(
