@@ -164,7 +164,20 @@ def cells(spark, sf):
     return body.unionByName(empty)
 
 
-@query()
+def unescape_sql(c: str) -> str:
+    """The character references that occur in the pages."""
+    for name, char in [("quot", '"'), ("copy", "©"), ("middot", "·"), ("amp", "&")]:
+        c = f"replace({c}, '&{name};', '{char}')"
+    return c
+
+
+@query(
+    f"""WITH t AS (SELECT page_id, {I.strip_sql(unescape_sql("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)"))} AS title,
+      list_filter(list_transform(string_split(regexp_replace(regexp_replace(html,
+          '(?s)<script.*?</script>|<style.*?</style>|<!--.*?-->', chr(10), 'g'), '(?s)<[^>]*>', chr(10), 'g'), chr(10)),
+        lambda x: {I.strip_sql(unescape_sql("x"))}), lambda x: x <> '') AS l FROM pages)
+    SELECT page_id, title, len(array_to_string(l, chr(10))) AS char_count, md5(array_to_string(l, chr(10))) AS text_md5 FROM t"""
+)
 def html_pages(spark, sf):
     """HTML to title, visible text and length."""
     return E.html_to_text(I.texts(spark, sf, "pages")).select(

@@ -187,7 +187,7 @@ def mode_boosted(spark, sf):
     """Code texts count more in coding mode, conceptual texts in thinking mode."""
     q = R.apply_mode_config(I.vector_queries(spark, sf))
     c = I.chunks(spark, sf)
-    found = R._with_text(knn(q, c), q, c)
+    found = R.with_text(knn(q, c), q, c)
     return R.boosted(found).select("query_id", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -196,7 +196,7 @@ def without_near_duplicates(spark, sf):
     """Greedy near-duplicate removal among each query's candidates."""
     q = R.apply_mode_config(I.vector_queries(spark, sf))
     c = I.chunks(spark, sf)
-    found = R.threshold_filter(R._with_text(knn(q, c), q, c))
+    found = R.threshold_filter(R.with_text(knn(q, c), q, c))
     return R.remove_near_dups(found).select(
         "query_id", "chunk_id", F.col("rank").alias("candidate_rank")
     )
