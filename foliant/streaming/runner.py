@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import shared_dir
+from ..session import materialise, shared_dir
 
 TIMEOUT_SECONDS = 3600
 
@@ -23,6 +23,7 @@ def replay(df: DataFrame, order: str, parts: int = 3) -> DataFrame:
     streams are read directly.
     """
     spark = df.sparkSession
+    df = materialise(df, "replay-source")  # read once per part
     path = shared_dir(spark, "replay")
     cuts = [i / parts for i in range(1, parts)]
     rows, quantiles = df.agg(
