@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import decontam, secrets, simhash
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,16 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op8_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, sf, "documents"))
+
+
+@query()
+def op9_winnowed_contamination(spark: SparkSession, sf: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query()
 def op10_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
