@@ -13,6 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ordered import lookup
 from ..session import materialise
 from .common import bind, lower_ascii, row_key, whole
 
@@ -116,7 +117,7 @@ def _found(docs: DataFrame, windows: DataFrame, lengths: list[int], window: int)
     known = windows.select(
         F.explode(bind(F.split("win", " "), lambda w: winnowed(w, spans))).alias("h")
     ).distinct()
-    docs_hit = prints.join(known, "h", "left_semi").select("_id", "_hash").distinct()
+    docs_hit = lookup(prints, known, ["h"], "left_semi").select("_id", "_hash").distinct()
     docs_hit = materialise(docs_hit, "candidates")
 
     def cut(w: Column) -> Column:
@@ -138,7 +139,7 @@ def _found(docs: DataFrame, windows: DataFrame, lengths: list[int], window: int)
     rows = docs.select("text", *row_key()).join(docs_hit, ["_id", "_hash"], "left_semi")
     rows = rows.select("_id", "_hash", F.explode(bind(words, cut)).alias("c"))
     rows = rows.select("_id", "_hash", "c.pos", "c.len", "c.win")
-    hits = rows.join(windows.select("len", "win").distinct(), ["len", "win"], "left_semi").distinct()
+    hits = lookup(rows, windows.select("len", "win").distinct(), ["len", "win"], "left_semi").distinct()
     hits = materialise(hits, "hits")
     # running end of all earlier hits: only what lies beyond it is newly covered
     before = Window.partitionBy("_id", "_hash").orderBy("pos", "len").rowsBetween(Window.unboundedPreceding, -1)

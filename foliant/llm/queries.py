@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontam, secrets, simhash
+from . import bpe, decontam, langid, secrets, simhash
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +31,18 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
+@query()
+def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.encode_documents(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query()
+def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return langid.identify(docs, langid.train(docs))
+
+
 @query()
 def op8_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf, "documents"))
