@@ -2,7 +2,7 @@
 
 Of every ``w`` consecutive k-grams of a text the one with the smallest hash is kept. Two texts
 that share ``k + w - 1`` consecutive words share all ``w`` k-grams of that span, hence its
-minimum: with k = 3 and w = 8 every shared span of ten words is found. Items of fewer words get a
+minimum: with k = 5 and w = 6 every shared span of ten words is found. Items of fewer words get a
 second, denser selection sized by the shortest of them. Documents with a fingerprint of some item
 are candidates; there the hits are extended: every window of the items is looked up at every word
 position and compared as text, so no hash decides a result.
@@ -20,7 +20,7 @@ from .common import bind, lower_ascii, row_key, whole
 # fixed values: characters that end a word, words of a window
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-GRAM = 3
+GRAM = 5
 
 
 def words_of(text: Column) -> Column:
