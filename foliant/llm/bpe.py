@@ -211,21 +211,22 @@ def encode_documents(
     spark = docs.sparkSession
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(Ranks(path))
-    schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    schema = "n_tokens long, ids_sha256 string, decoded_sha256 string"
     schema += ", ids array<int>" if ids_column else ""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf(schema)
+    def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         encoder = Encoder(shared.value, pattern)
-        for b in batches:
-            counts, coded, back, lists = [], [], [], []
-            for _, block in text_blocks(b["text"].tolist()):
+        for texts in batches:
+            counts, codes, back, lists = [], [], [], []
+            for _, block in text_blocks(texts.tolist()):
                 for ids in encoder.encode(block):
                     counts.append(len(ids))
-                    coded.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                    codes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
                     back.append(hashlib.sha256(shared.value.decode(ids)).hexdigest())
                     if ids_column:
                         lists.append(ids)
-            out = {"doc_id": b["doc_id"], "n_tokens": counts, "ids_sha256": coded, "decoded_sha256": back}
+            out = {"n_tokens": counts, "ids_sha256": codes, "decoded_sha256": back}
             yield pd.DataFrame(out | ({"ids": lists} if ids_column else {}))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, schema)
+    return docs.select("doc_id", coded("text").alias("c")).select("doc_id", "c.*")

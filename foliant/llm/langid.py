@@ -199,14 +199,14 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            names, scores = predict(shared.value, b["text"].tolist())
-            yield b[["doc_id", "held_out"]].assign(lang_pred=names, score=scores)
+    @F.pandas_udf("lang_pred string, score double")
+    def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            names, scores = predict(shared.value, texts.tolist())
+            yield pd.DataFrame({"lang_pred": names, "score": scores})
 
-    return docs.select(F.col("doc_id").cast("long"), held_out().alias("held_out"), "text").mapInPandas(
-        run, "doc_id long, held_out boolean, lang_pred string, score double"
-    )
+    rows = docs.select("doc_id", held_out().alias("held_out"), language("text").alias("l"))
+    return rows.select("doc_id", "held_out", "l.*")
 
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:

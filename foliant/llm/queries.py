@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, langid, secrets, simhash
+from . import bpe, decontam, langid, quality, repeats, secrets, shards, simhash, tokenfile, urls
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -37,12 +37,49 @@ def op1_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf, "documents"), path, public_tokenizers.PATTERN)
 
 
+@query()
+def op2_risk_controlled_quality(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.judge(table(spark, sf, "documents"), table(spark, sf, "labels"))
+
+
 @query()
 def op3_language_mixture(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
     return langid.identify(docs, langid.train(docs))
 
 
+# fixed values: the rules of the url query
+RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query()
+def op4_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
+    rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
+    return urls.judge(table(spark, sf, "pages"), rules)
+
+
+@query()
+def op5_addressable_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return tokenfile.round_trip(table(spark, sf, "documents"), path, 2)
+
+
+@query()
+def op6_hash_tree_shards(spark: SparkSession, sf: str) -> DataFrame:
+    return shards.shard(table(spark, sf, "documents"), shards.default_tree(8), shards.default_tree(9))
+
+
+@query()
+def op7_repeated_strings(spark: SparkSession, sf: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf, "documents"))
+
+
 @query()
 def op8_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf, "documents"))

@@ -87,3 +87,57 @@ def base_secrets(rows):
         text = ",".join(f"{names[k]}:{s}:{e}" for s, k, e in sorted(spans + a + h))
         out.append((d, len(spans), len(a), len(h), sha(text)))
     return out
+
+
+def quality(rows):
+    """Counts of every (doc_id, text), without the verdict of the method."""
+    out = []
+    for d, t in rows:
+        t = t or ""
+        w = re.findall(r"[^\x20\x09-\x0D]+", t)
+        lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+        seen, hit = {}, set()
+        for i in range(len(w) - 7):
+            seen.setdefault(tuple(w[i : i + 8]), []).append(i)
+        for at in seen.values():
+            if len(at) > 1:
+                hit.update(j for i in at for j in range(i, i + 8))
+        n = len(re.findall(r"[#*$%&|<>]", t))
+        failed = len(w) < 20 or 100 * len(hit) > 30 * len(w)
+        out.append((d, len(w), sum(map(len, w)), n, len(lines) - len(set(lines)), len(hit), failed))
+    return out
+
+
+def url(u, rules):
+    host = path = ""
+    if u and "://" in u:
+        rest = u.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+        host = lower(host)
+    fits = [
+        (len(h + p), len(h), h + p, v)
+        for h, p, v in rules
+        if (host == h or host.endswith("." + h)) and path.startswith(p)
+    ]
+    best = max(fits, default=(0, 0, None, "allow"))
+    return host, path, best[2], best[3]
+
+
+def repeats(rows, length=200):
+    seen = {}
+    raws = [(t or "").encode() for _, t in rows]
+    for raw in raws:
+        for i in range(len(raw) - length + 1):
+            w = hashlib.md5(raw[i : i + length]).digest()
+            seen[w] = seen.get(w, 0) + 1
+    out = []
+    for (d, _), raw in zip(rows, raws, strict=True):
+        gone = bytearray(len(raw))
+        for i in range(len(raw) - length + 1):
+            if seen[hashlib.md5(raw[i : i + length]).digest()] > 1:
+                gone[i : i + length] = b"\1" * length
+        kept = bytes(b for b, g in zip(raw, gone, strict=True) if not g)
+        spans = len(re.findall(rb"\x01+", bytes(gone)))
+        out.append((d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out
