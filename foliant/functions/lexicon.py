@@ -3,7 +3,6 @@
 # --- file rules (fixed values) -------------------------------------------------------------
 ALLOWED_EXTENSIONS = [".pdf", ".docx", ".pptx", ".epub", ".txt", ".text", ".md"]
 MAX_FILE_SIZE = 100 * 1024 * 1024
-SUSPICIOUS_SAMPLE_BYTES = 10240
 SUSPICIOUS_PATTERNS = ["<script", "javascript:", "eval(", "exec(", "__import__"]
 EXPECTED_MIME = {
     ".pdf": ["application/pdf"],

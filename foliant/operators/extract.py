@@ -186,19 +186,26 @@ def detect_columns(words: DataFrame) -> DataFrame:
 def table_to_markdown(cells: DataFrame, keys: list[str], ignore_marks: bool = False) -> DataFrame:
     """(keys…, row, col, cell) to one aligned markdown table per key.
 
-    Rows without any text go away, short rows are padded. ``ignore_marks`` leaves ``*`` and
+    Rows without any text go away, short rows are padded; of a repeated cell the text that sorts
+    last stands. ``ignore_marks`` leaves ``*`` and
     backticks out of the widths.
     """
     cell = F.coalesce("cell", F.lit(""))
     shown = F.regexp_replace(cell, "[*`]", "") if ignore_marks else cell
     c = cells.select(*keys, "row", "col", cell.alias("cell"), F.length(shown).alias("width"))
+
+    def one_per_column(s: Column) -> Column:
+        last = F.filter(s, lambda x, i: F.coalesce(F.get(s, i + 1)["col"] != x["col"], F.lit(True)))
+        return F.map_from_entries(last)
+
     rows = (
         c.groupBy(*keys, "row")
         .agg(
-            F.map_from_entries(F.collect_list(F.struct("col", F.struct("cell", "width")))).alias("m"),
+            F.sort_array(F.collect_list(F.struct("col", F.struct("cell", "width")))).alias("m"),
             F.max("width").alias("widest"),
         )
         .where("widest > 0")
+        .withColumn("m", one_per_column(F.col("m")))
     )
     by_col = c.groupBy(*keys, "col").agg(F.max("width").alias("w"))
     shape = rows.groupBy(*keys).agg(
@@ -439,9 +446,7 @@ def runs_to_markdown(runs: DataFrame) -> DataFrame:
 
 def heading_number(style: Column) -> Column:
     """The number a heading style ends with; null when it has none."""
-    return F.try_to_number(
-        F.nullif(F.regexp_extract(style, r"(?:^|\s)(\d{1,3})\s*$", 1), F.lit("")), F.lit("999")
-    ).cast("int")
+    return F.regexp_extract(style, r"(?:^|\s)(\d+)\s*$", 1).try_cast("int")
 
 
 def classify_paragraphs(paragraphs: DataFrame) -> DataFrame:

@@ -317,16 +317,17 @@ def build_chat_payload(
 
 
 def assemble_response(
-    tokens: DataFrame, keys: list[str], aborted: Column | None = None, limit: int = L.RESPONSE_CHAR_LIMIT
+    tokens: DataFrame, keys: list[str], aborted: Column | None = None, limit: int | None = None
 ) -> DataFrame:
     """(keys…, seq, token) to the stored answer.
 
-    The token that takes the answer over the limit is the last one; a note follows. Running
+    The token that takes the answer over the limit, if there is one, is the last; a note follows. Running
     lengths are summed block by block, so tokens beyond the limit are dropped without ordering
     them. Blank answers are not stored.
     """
     t = running_total(tokens, keys, "seq", F.length("token"), "_upto", block=4096)
-    kept = t.where(F.col("_upto") - F.length("token") <= limit)
+    over = F.col("_chars") > limit if limit is not None else F.lit(False)
+    kept = t if limit is None else t.where(F.col("_upto") - F.length("token") <= limit)
     flag = F.max(aborted) if aborted is not None else F.lit(False)
     answers = kept.groupBy(*keys).agg(
         F.expr("listagg(token, '') within group (order by seq)").alias("_text"),
@@ -335,9 +336,9 @@ def assemble_response(
     )
     note = (
         F.when(F.col("_aborted"), L.TIMEOUT_NOTE)
-        .when(F.col("_chars") > limit, L.TRUNCATED_NOTE)
+        .when(over, L.TRUNCATED_NOTE)
         .otherwise("")
     )
     return answers.where(~X.is_blank(F.col("_text"))).select(
-        *keys, F.concat("_text", note).alias("answer"), (F.col("_chars") > limit).alias("truncated")
+        *keys, F.concat("_text", note).alias("answer"), over.alias("truncated")
     )

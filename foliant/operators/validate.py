@@ -41,11 +41,10 @@ def mime_consistent(files: DataFrame) -> DataFrame:
 
 
 def suspicious_content(content: Column) -> Column:
-    """Any suspicious pattern within the first bytes of the content (case-sensitive)."""
-    sample = F.substring(content, 1, L.SUSPICIOUS_SAMPLE_BYTES)
+    """Any suspicious pattern anywhere in the content (case-sensitive)."""
     return reduce(
         lambda a, b: a | b,
-        [F.contains(sample, F.lit(p.encode())) for p in L.SUSPICIOUS_PATTERNS],
+        [F.contains(content, F.lit(p.encode())) for p in L.SUSPICIOUS_PATTERNS],
     )
 
 

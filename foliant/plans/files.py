@@ -53,9 +53,7 @@ def files(spark, sf):
 
 
 SUSPICIOUS_SQL = " OR ".join(
-    f"(contains(text, '{p}') AND strlen(left(text, strpos(text, '{p}')::INT - 1)) + {len(p)} "
-    f"<= {L.SUSPICIOUS_SAMPLE_BYTES})"
-    for p in L.SUSPICIOUS_PATTERNS
+    f"contains(text, '{p}')" for p in L.SUSPICIOUS_PATTERNS
 )
 EXPECTED_SQL = "CASE ext " + " ".join(
     f"WHEN '{e}' THEN {m!r}" for e, m in L.EXPECTED_MIME.items()
@@ -72,12 +70,6 @@ def size_sql(c: str) -> str:
     return f"CASE {steps} ELSE printf('%.1f TB', ({c} / {1024**4}.0)::DOUBLE) END"
 
 
-@query()
-def scanned_files(spark, sf):
-    """The table files themselves, listed by the binary file source."""
-    return SF.scan_files(spark, sf).select("name", "ext", "size")
-
-
 @query(
     f"""SELECT doc_id, len(string_split(text, chr(10))) AS line_count,
     {I.tokens_sql("text")} AS word_count, len(text) AS char_count FROM documents"""
@@ -245,7 +237,7 @@ def consistent_mime(spark, sf):
 
 @query(f"WITH {FILES} SELECT path, ({SUSPICIOUS_SQL}) AS suspicious FROM named")
 def suspicious_files(spark, sf):
-    """V4: suspicious patterns in the first 10240 bytes."""
+    """V4: suspicious patterns anywhere in the content."""
     return files(spark, sf).select(
         "path", V.suspicious_content(F.col("content")).alias("suspicious")
     )

@@ -24,7 +24,7 @@ def first_turns(spark, sf):
 @query()
 def fallback_titles(spark, sf):
     """A title from the first message alone."""
-    return T.fallback_title(first_turns(spark, sf)).select("conv_id", "title")
+    return first_turns(spark, sf).select("conv_id", T.fallback_title(F.col("message")).alias("title"))
 
 
 @query(

@@ -61,10 +61,10 @@ def stream_memo(queries: DataFrame, ttl: int = L.MEMO_TTL_SECONDS) -> DataFrame:
     return run_to_table(spaced).select("memo_key", "query_id", (~F.col("kept")).alias("hit"))
 
 
-def partial_answer_stream(tokens: DataFrame, key: str, limit: int = L.RESPONSE_CHAR_LIMIT) -> DataFrame:
+def partial_answer_stream(tokens: DataFrame, key: str, limit: int | None = None) -> DataFrame:
     """(key, seq, token) to the answer so far; an empty token clears it.
 
-    An answer stops growing at ``limit`` characters, like the stored one, so state is bounded.
+    With a ``limit`` an answer stops growing at that many characters, which bounds the state.
     """
     schema = T.StructType([tokens.schema[key], T.StructField("answer", T.StringType())])
 
@@ -75,7 +75,7 @@ def partial_answer_stream(tokens: DataFrame, key: str, limit: int = L.RESPONSE_C
         for token in rows["token"]:
             if not token:
                 parts, size = [], 0
-            elif size <= limit:
+            elif limit is None or size <= limit:
                 parts.append(token)
                 size += len(token)
         text = "".join(parts)

@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from ..session import materialise, shared_dir
 
-TIMEOUT_SECONDS = 3600
-
-
 ROWS_PER_TASK = 200
 
 
@@ -56,8 +53,7 @@ def run_batches(
         .start()
     )
     try:
-        if not q.awaitTermination(TIMEOUT_SECONDS):
-            raise TimeoutError("the stream did not finish")
+        q.awaitTermination()
     finally:
         q.stop()
 
