@@ -54,6 +54,13 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
     ]
 
 
+def keyed(docs: DataFrame) -> tuple[DataFrame, str, Column, Column]:
+    """The rows with their key in one struct column, its name, and its two parts."""
+    name = unused(docs, "_key")
+    parts = F.col(f"{name}._id"), F.col(f"{name}._hash")
+    return docs.withColumn(name, F.struct(*row_key())), name, *parts
+
+
 def unused(df: DataFrame, name: str) -> str:
     """``name``, with underscores in front until no column of ``df`` has it."""
     taken = {c.lower() for c in df.columns}

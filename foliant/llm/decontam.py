@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import lookup
 from ..session import materialise
-from .common import bind, lower_ascii, row_key, whole
+from .common import bind, keyed, lower_ascii, row_key, whole
 
 # fixed values: characters that end a word, words of a window
 BREAKS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -173,5 +173,5 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     if not lengths:
         return docs
     bad = materialise(_found(docs, windows, lengths, window).select("_id", "_hash"), "contaminated")
-    keyed = docs.select("*", *row_key())
-    return keyed.join(bad, ["_id", "_hash"], "left_anti").select(*docs.columns)
+    rows, key, own_id, own_hash = keyed(docs)
+    return rows.join(bad, (own_id == bad["_id"]) & (own_hash == bad["_hash"]), "left_anti").drop(key)

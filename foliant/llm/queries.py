@@ -58,7 +58,21 @@ RULES = [
 ]
 
 
-@query()
+URL_SQL = """
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest
+           FROM pages),
+s AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+             'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM u),
+r(h, p, v) AS (VALUES """ + ", ".join(map(str, RULES)) + """)
+SELECT page_id, host, path,
+  (SELECT h || p FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+   ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1) AS rule,
+  coalesce((SELECT v FROM r WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p)
+   ORDER BY length(h || p) DESC, length(h) DESC LIMIT 1), 'allow') AS verdict
+FROM s"""
+
+
+@query(URL_SQL)
 def op4_url_cascade(spark: SparkSession, sf: str) -> DataFrame:
     rules = spark.createDataFrame(RULES, "host string, path string, verdict string")
     return urls.judge(table(spark, sf, "pages"), rules)
@@ -85,7 +99,27 @@ def op8_linked_secrets(spark: SparkSession, sf: str) -> DataFrame:
     return secrets.find_secrets(table(spark, sf, "documents"))
 
 
-@query()
+WORDS_SQL = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"""
+CONTAMINATION_SQL = f"""
+WITH d AS (SELECT doc_id, {WORDS_SQL} AS w FROM documents),
+b AS (SELECT item_id, {WORDS_SQL} AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+             FROM (SELECT *, least(10, len(w)) AS n FROM b WHERE len(w) > 0))),
+dw AS (SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS win
+       FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i
+             FROM d, (SELECT DISTINCT n FROM bw) WHERE len(w) >= n)),
+hit AS (SELECT DISTINCT doc_id, i, n, win FROM dw SEMI JOIN bw USING (n, win)),
+cov AS (SELECT doc_id, count(DISTINCT p) AS c FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM hit) GROUP BY 1),
+it AS (SELECT doc_id, count(*) AS k, string_agg(item, ',' ORDER BY item) AS ids
+       FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hit JOIN bw USING (n, win)) GROUP BY 1)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_hit, coalesce(k, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(c, 0) > 0 AS contaminated
+FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN it USING (doc_id)"""
+
+
+@query(CONTAMINATION_SQL)
 def op9_winnowed_contamination(spark: SparkSession, sf: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 

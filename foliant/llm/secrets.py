@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import row_key, whole
+from .common import keyed, row_key, unused, whole
 
 # fixed values: the base patterns and the least lengths of what they must find
 ASSIGN = (
@@ -166,9 +166,13 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     """
     found = scan(docs, scope)
     secret = F.filter(F.concat("base", "added"), lambda s: s["kind"].isin(0, 1, 2, 4, 5))
-    found = found.select("_id", "_hash", F.sort_array(secret).alias("_spans")).where(F.size("_spans") > 0)
-    found = materialise(found.dropDuplicates(["_id", "_hash"]), "secrets")
-    keyed = docs.select("*", *row_key()).join(found, ["_id", "_hash"], "left")
+    cuts = unused(docs, "_cuts")
+    found = found.select(
+        F.col("_id").alias(f"{cuts}_id"), F.col("_hash").alias(f"{cuts}_hash"), F.sort_array(secret).alias(cuts)
+    ).where(F.size(cuts) > 0)
+    found = materialise(found.dropDuplicates(), "secrets")
+    rows, key, own_id, own_hash = keyed(docs)
+    rows = rows.join(found, (own_id == found[f"{cuts}_id"]) & (own_hash == found[f"{cuts}_hash"]), "left")
 
     def cut(acc: Column, s: Column) -> Column:
         fresh = s["start"] >= acc["at"]
@@ -177,16 +181,17 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    tail = F.aggregate(
-        "_spans",
+    shorter = F.aggregate(
+        cuts,
         start,
         cut,
         lambda acc: F.concat(
             F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
         ),
     )
-    text = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(tail)
-    out = keyed.withColumn("text", text)
+    has = F.col(cuts).isNotNull()
+    rows = rows.withColumn("text", F.when(has, shorter).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(dict(docs.dtypes)["n_chars"]))
-    return out.select(*docs.columns)
+        size = F.when(has, F.length("text")).otherwise(F.col("n_chars"))
+        rows = rows.withColumn("n_chars", size.cast(dict(docs.dtypes)["n_chars"]))
+    return rows.select(*docs.columns)

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ordered import lookup
 from ..session import materialise
-from .common import bounded_batches, row_key, text_blocks
+from .common import bounded_batches, keyed, row_key, text_blocks
 
 SEED = 42
 SHINGLE = 3
@@ -225,6 +225,6 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")).alias("k")
     )
     best = materialise(best.select(F.col("k._id").alias("_id"), F.col("k._hash").alias("_hash")), "kept")
-    keyed = docs.select("*", *row_key())
-    kept = keyed.join(best, ["_id", "_hash"], "left_semi")
-    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    rows, key, own_id, own_hash = keyed(docs)
+    kept = rows.join(best, (own_id == best["_id"]) & (own_hash == best["_hash"]), "left_semi")
+    return kept.dropDuplicates([key]).drop(key)
