@@ -30,6 +30,9 @@ RANK_BLOCK = 512
 SEGMENT = 1 << 19
 # distinct words whose ids a task keeps
 KNOWN = 1 << 18
+# a character that stands between words that are encoded in one call, and words of a call
+MARK = "\x01"
+GROUP = 1024
 SCHEMA = (
     "part int, seq int, n_docs int, n_ids long, doc_ids array<long>, none array<boolean>, ends array<long>, "
     "chunks array<binary>, more array<binary>, ranks array<binary>"
@@ -113,6 +116,23 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, list[int]] = {}
+        (self.mark,) = self.ids(MARK)
+
+    def ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes many words in one call with a control character between them, whose id parts them."""
+        plain = [w for w in words if MARK not in w]
+        for k in range(0, len(plain), GROUP):
+            group = plain[k : k + GROUP]
+            ids = np.array(self.ids(f" {MARK} ".join([*group, ""])), dtype=np.int64)
+            ends = np.nonzero(ids == self.mark)[0]
+            starts = np.concatenate([[0], ends[:-1] + 1])
+            ids = ids.tolist()
+            parts = [ids[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            self.known.update(zip(group, parts, strict=True))
+        self.known.update((w, self.ids(w)) for w in words if MARK in w)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         words = [t.replace("\n", " ").split(" ") for t in texts]
@@ -120,8 +140,7 @@ class WordEncoder:
         if len(self.known) + len(fresh) > KNOWN:
             self.known = {}
             fresh = list(set().union(*words))
-        coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-        self.known.update(zip(fresh, [c.ids for c in coded], strict=True))
+        self.learn(fresh)
         known = self.known.__getitem__
         return [np.array([i for ids in map(known, w) for i in ids], dtype=np.int64) for w in words]
 
