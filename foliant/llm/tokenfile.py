@@ -28,8 +28,9 @@ CHUNK = 8
 RANK_BLOCK = 512
 # ids after which a segment is closed at the end of its document
 SEGMENT = 1 << 19
-# distinct words whose ids a task keeps
+# distinct words after which a task starts a new generation of remembered ones
 KNOWN = 1 << 18
+ID = np.dtype("<u4")
 # a character that stands between words that are encoded in one call, and words of a call
 MARK = "\x01"
 GROUP = 1024
@@ -63,6 +64,12 @@ class Codes:
         out[part] += np.bitwise_count(bits[at[part] // 8] & mask)
         return out
 
+    def rank_one(self, level: int, at: int) -> int:
+        """Set bits of a level before one position."""
+        bits, first = self.more[level], at // RANK_BLOCK * (RANK_BLOCK // 8)
+        n = int(self.ranks[level][at // RANK_BLOCK]) + int(np.bitwise_count(bits[first : at // 8]).sum())
+        return n + (int(bits[at // 8]) & ((1 << at % 8) - 1)).bit_count() if at % 8 else n
+
     def get(self, at: np.ndarray) -> np.ndarray:
         """The ids at any positions."""
         at = np.asarray(at, dtype=np.int64)
@@ -85,7 +92,7 @@ class Codes:
             live = live[goes]
             if not len(live):
                 break
-            start = int(self.rank(level, np.array([start]))[0])
+            start = self.rank_one(level, start)
             end = start + len(live)
         return out
 
@@ -109,40 +116,45 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across spaces and line feeds.
 
-    Each distinct stretch between them is encoded by the library once while it is remembered.
+    Each distinct stretch between them is encoded by the library once while it is remembered, as
+    the bytes of its ids. Words are remembered in two generations: those that come up again move
+    to the newer one, and the older one goes when the newer is full.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         (self.mark,) = self.ids(MARK)
 
-    def ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=ID)
 
     def learn(self, words: list[str]) -> None:
         """Encodes many words in one call with a control character between them, whose id parts them."""
         plain = [w for w in words if MARK not in w]
         for k in range(0, len(plain), GROUP):
             group = plain[k : k + GROUP]
-            ids = np.array(self.ids(f" {MARK} ".join([*group, ""])), dtype=np.int64)
-            ends = np.nonzero(ids == self.mark)[0]
-            starts = np.concatenate([[0], ends[:-1] + 1])
-            ids = ids.tolist()
-            parts = [ids[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            ids = self.ids(f" {MARK} ".join([*group, ""]))
+            ends = np.nonzero(ids == self.mark)[0] * ID.itemsize
+            starts = np.concatenate([[0], ends[:-1] + ID.itemsize])
+            data = ids.tobytes()
+            parts = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
             self.known.update(zip(group, parts, strict=True))
-        self.known.update((w, self.ids(w)) for w in words if MARK in w)
+        self.known.update((w, self.ids(w).tobytes()) for w in words if MARK in w)
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
         words = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = list(set().union(*words).difference(self.known))
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known = {}
-            fresh = list(set().union(*words))
-        self.learn(fresh)
+        if len(self.known) > KNOWN:
+            self.known, self.older = {}, self.known
+        fresh = set().union(*words).difference(self.known)
+        again = fresh.intersection(self.older)
+        self.known.update((w, self.older[w]) for w in again)
+        self.learn(list(fresh.difference(again)))
         known = self.known.__getitem__
-        return [np.array([i for ids in map(known, w) for i in ids], dtype=np.int64) for w in words]
+        return [b"".join(map(known, w)) for w in words]
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:
@@ -160,25 +172,25 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         F.coalesce("doc_id", F.lit(0)).alias("doc_id"), none.alias("none"), "text", F.spark_partition_id().alias("part")
     )
 
-    def segment(part: int, seq: int, ids: list[np.ndarray], docs: list[tuple[int, bool]]) -> pd.DataFrame:
-        chunks, more, ranks = encode(np.concatenate(ids))
-        ends = np.cumsum([len(i) for i in ids]).tolist()
+    def segment(part: int, seq: int, ids: list[bytes], docs: list[tuple[int, bool]]) -> pd.DataFrame:
+        chunks, more, ranks = encode(np.frombuffer(b"".join(ids), dtype=ID))
+        ends = (np.cumsum([len(i) for i in ids]) // ID.itemsize).tolist()
         doc_ids, none = map(list, zip(*docs, strict=True))
         row = [part, seq, len(ids), ends[-1], doc_ids, none, ends, chunks, more, ranks]
         return pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder, seq, size, ids, doc_ids, part = WordEncoder(tokenizer), 0, 0, [], [], 0
-        end = np.array([end_id])
+        end = np.array([end_id], dtype=ID).tobytes()
         for b in batches:
             part = int(b["part"].iloc[0]) if len(b) else part
             numbers = list(zip(b["doc_id"].tolist(), b["none"].tolist(), strict=True))
             for first, block in text_blocks(b["text"].tolist()):
                 for i, own in enumerate(encoder.encode(block), first):
-                    ids.append(np.concatenate([own, end]))
+                    ids.append(own + end)
                     doc_ids.append(numbers[i])
                     size += len(ids[-1])
-                    if size >= SEGMENT:
+                    if size >= SEGMENT * ID.itemsize:
                         yield segment(part, seq, ids, doc_ids)
                         seq, size, ids, doc_ids = seq + 1, 0, [], []
         if ids:
@@ -203,10 +215,13 @@ def read_documents(spark, path: str) -> DataFrame:
             for s in b.itertuples():
                 codes, ends = Codes(s.chunks, s.more, s.ranks), np.asarray(s.ends)
                 heads = np.concatenate([[0], ends[:-1]])
-                crc = [zlib.crc32(codes.span(h, e).astype("<u4").tobytes()) for h, e in zip(heads, ends, strict=True)]
-                ids = pd.arrays.IntegerArray(np.array(s.doc_ids, dtype=np.int64), np.array(s.none, dtype=bool))
+                # every document is asked for, so the segment is read as one span
+                ids = memoryview(codes.span(0, int(ends[-1])).astype(ID)).cast("B")
+                cuts = (np.concatenate([[0], ends]) * ID.itemsize).tolist()
+                crc = [zlib.crc32(ids[h:e]) for h, e in zip(cuts[:-1], cuts[1:], strict=True)]
+                doc_ids = pd.arrays.IntegerArray(np.array(s.doc_ids, dtype=np.int64), np.array(s.none, dtype=bool))
                 yield pd.DataFrame(
-                    {"doc_id": ids, "part": s.part, "seq": s.seq, "at": heads, "n_tokens": ends - heads, "ids_crc32": crc}
+                    {"doc_id": doc_ids, "part": s.part, "seq": s.seq, "at": heads, "n_tokens": ends - heads, "ids_crc32": crc}
                 )
 
     docs = files.mapInPandas(run, "doc_id long, part int, seq int, at long, n_tokens long, ids_crc32 long")
