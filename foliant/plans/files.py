@@ -86,20 +86,27 @@ def text_measures(spark, sf):
     """SELECT conv_id::VARCHAR AS course_id, turn::VARCHAR AS chat_id,
        generate_subscripts(string_split(text, chr(10)), 1) - 1 AS seq,
        CASE WHEN role = 'user' THEN 'human' ELSE 'bot' END AS sender,
-       unnest(string_split(text, chr(10))) AS content FROM conversations"""
+       unnest(string_split(text, chr(10))) AS content,
+       '[{"text":"' || role || '","documentTitle":"t' || turn || '"}]' AS citations,
+       't' || turn AS document_ids, '2024-01-01T00:00:00Z' AS timestamp FROM conversations"""
 )
 def chat_files(spark, sf):
     """S3: chat files to message rows; each turn is written as one file, a line per message."""
     sender = F.when(F.col("role") == "user", "human").otherwise("bot")
+    title = F.concat(F.lit("t"), "turn")
+    cited = F.array(F.struct(F.col("role").alias("text"), title.alias("documentTitle")))
     lines = F.transform(
         F.split("text", "\n"),
-        lambda x: F.struct(x.alias("content"), sender.alias("sender")),
-    )
+        lambda x: F.struct(
+            x.alias("content"), sender.alias("sender"), cited.alias("citations"),
+            F.array(title).alias("documentIds"), F.lit("2024-01-01T00:00:00Z").alias("timestamp"),
+        ),
+    )
     raw = I.table(spark, sf, "conversations").select(
         F.concat(F.lit("d/courses/"), "conv_id", F.lit("/chats/"), "turn", F.lit(".json")).alias("path"),
         F.to_json(F.struct(lines.alias("messages"))).alias("json"),
     )
-    return SJ.parse_chat_files(raw).select("course_id", "chat_id", "seq", "sender", "content")
+    return SJ.parse_chat_files(raw).withColumn("document_ids", F.array_join("document_ids", ","))
 
 
 @query(

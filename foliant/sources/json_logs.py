@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strip
 
+# citations stay JSON text, so that no field of theirs is lost
 CHAT_FILE = (
-    "messages array<struct<content:string, sender:string, "
-    "citations:array<struct<text:string>>, documentIds:array<string>>>"
+    "messages array<struct<content:string, sender:string, timestamp:string, "
+    "citations:string, documentIds:array<string>>>"
 )
 CATALOG_FILE = (
     "chats array<struct<id:string, title:string, latestActivity:string, chatType:string, "
@@ -38,8 +39,9 @@ def parse_chat_files(files: DataFrame) -> DataFrame:
         "seq",
         "m.sender",
         "m.content",
-        F.to_json("m.citations").alias("citations"),
+        "m.citations",
         F.col("m.documentIds").alias("document_ids"),
+        "m.timestamp",
     )
 
 

@@ -14,11 +14,13 @@ from ..functions import lexicon as L
 from .runner import latest_per_key, run_to_table
 
 
-def spaced_stream(events: DataFrame, key: str, id_col: str, at: str, gap: int, lateness: str = "1 hour") -> DataFrame:
+def spaced_stream(events: DataFrame, key: str, id_col: str, at: str, gap: int, idle: str = "7 days") -> DataFrame:
     """Adds to (key, id) whether an event is at least ``gap`` microseconds after the last kept one.
 
-    State is one time per key. It is dropped once the watermark has passed it by ``gap``,
-    because any later event is kept anyway.
+    Every row comes out, however late: one from before the last kept event of an earlier
+    micro-batch is not kept. State is one time per key. The watermark runs on arrival, so that
+    it drops no rows; it only ends the state of keys of which nothing has come for ``idle``,
+    which should be longer than ``gap`` and the longest delay of a source.
     """
     schema = T.StructType(
         [events.schema[key], events.schema[id_col], T.StructField("kept", T.BooleanType())]
@@ -29,19 +31,20 @@ def spaced_stream(events: DataFrame, key: str, id_col: str, at: str, gap: int, l
             state.remove()
             return
         last = state.get[0] if state.exists else None
-        rows = pd.concat([f[[id_col, "_at"]] for f in frames]).sort_values("_at")
+        rows = pd.concat([f[[id_col, "_at", "_ms"]] for f in frames]).sort_values("_at")
         kept = []
         for t in rows["_at"].to_numpy():
             fresh = last is None or int(t) - last >= gap
             last = int(t) if fresh else last
             kept.append(fresh)
         state.update((last,))
-        state.setTimeoutTimestamp(max(last + gap, state.getCurrentWatermarkMs() * 1000) // 1000 + 1)
+        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: k[0], id_col: rows[id_col].to_numpy(), "kept": kept})
 
     return (
-        events.withWatermark(at, lateness)
-        .select(key, id_col, at, F.unix_micros(at).alias("_at"))
+        events.withColumn("_seen", F.current_timestamp())
+        .withWatermark("_seen", idle)
+        .select(key, id_col, "_seen", F.unix_micros(at).alias("_at"), F.unix_millis("_seen").alias("_ms"))
         .groupBy(key)
         .applyInPandasWithState(
             step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout

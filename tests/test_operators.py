@@ -46,11 +46,14 @@ def test_chat_files_and_catalog(spark, tmp_path):
     chats = tmp_path / "courses" / "c1" / "chats"
     chats.mkdir(parents=True)
     body = {"messages": [{"content": "hi", "sender": "human", "citations": [], "documentIds": ["d"]},
-                         {"content": "yo", "sender": "bot"}]}
+                         {"content": "yo", "sender": "bot", "timestamp": "2024-01-01T00:00:00Z",
+                          "citations": [{"text": "a b", "documentTitle": "T"}]}]}
     (chats / "k9.json").write_text(json.dumps(body, indent=1))
     rows = SJ.read_chats(spark, str(tmp_path)).orderBy("seq").collect()
     assert [(r.course_id, r.chat_id, r.seq, r.sender, r.content) for r in rows] == [
         ("c1", "k9", 0, "human", "hi"), ("c1", "k9", 1, "bot", "yo")]
+    assert [(r.citations, r.timestamp) for r in rows] == [
+        ("[]", None), ('[{"text":"a b","documentTitle":"T"}]', "2024-01-01T00:00:00Z")]
     other = tmp_path / "more" / "courses" / "c2"
     other.mkdir(parents=True)
     (other / "chats.json").write_text(json.dumps({"chats": [
@@ -292,6 +295,17 @@ def test_partial_answers_grow_over_batches_and_clear(spark):
     assert [(r.chat, r.answer) for r in out] == [("x", "cd")]
 
 
+def test_late_events_of_keyed_streams_all_come_out(spark):
+    day = 86400
+    # every other event is a day older than the one before it
+    rows = [("k", i, 1_700_000_000 + 60 * i - day * (i % 2)) for i in range(120)]
+    df = spark.createDataFrame(rows, "k string, id long, s long").withColumn("at", F.timestamp_seconds("s"))
+    out = {r.id: r.kept for r in SK.stream_throttle(replay(df, "id", 4), "k", "id", "at", 90 * 1_000_000)
+           .withColumnRenamed("forwarded", "kept").collect()}
+    assert len(out) == 120
+    assert not any(kept for i, kept in out.items() if i % 2 and i >= 60)
+
+
 def test_streamed_ingest_equals_batch_and_reuses_vectors(spark):
     docs = [(f"d{i}", f"d{i}.txt", ".txt", f"Text number {i % 3}. More of it.", i) for i in range(6)] + [("e", "e.exe", ".exe", "x", 1)]
     df = spark.createDataFrame(docs, "doc_id string, name string, ext string, text string, n long").select(
