@@ -220,11 +220,17 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     doc_ids, one of its rows stays. All columns are kept.
     """
     mark = fingerprints(docs, [F.col("doc_id"), *row_key()], size)
-    mark = label(materialise(mark.distinct(), "fingerprints"))
+    mark = mark.groupBy("doc_id", "_id", "_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
+    mark = label(materialise(mark, "fingerprints"))
     best = mark.groupBy("component_id").agg(
-        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id")).alias("k")
+        F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id", "n")).alias("k")
     )
-    best = materialise(best.select(F.col("k._id").alias("_id"), F.col("k._hash").alias("_hash")), "kept")
+    best = materialise(best.select("k._id", "k._hash", "k.n"), "kept")
     rows, key, own_id, own_hash = keyed(docs)
-    kept = rows.join(best, (own_id == best["_id"]) & (own_hash == best["_hash"]), "left_semi")
-    return kept.dropDuplicates([key]).drop(key)
+
+    def among(keys: DataFrame) -> DataFrame:
+        return rows.join(keys, (own_id == keys["_id"]) & (own_hash == keys["_hash"]), "left_semi")
+
+    # only rows that repeat are grouped with their texts
+    once, repeated = among(best.where("n = 1")), among(best.where("n > 1")).dropDuplicates([key])
+    return once.union(repeated).drop(key)
