@@ -270,6 +270,16 @@ def test_near_duplicates(docs, none):
     assert {r.doc_id for r in kept.collect()} == groups
 
 
+def test_the_row_that_stays_may_repeat(spark):
+    rows = [(1, PASSAGE * 3, "a")] * 5 + [(2, PASSAGE * 3, "b")] * 3 + [(3, "other words stand in this one", "c")]
+    rows += [(None, "a text without a number, told twice", "d")] * 2
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, n string").repartition(4))
+    assert kept.columns == ["doc_id", "text", "n"]
+    want = [(1, PASSAGE * 3, "a"), (3, "other words stand in this one", "c"),
+            (None, "a text without a number, told twice", "d")]
+    assert sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == want
+
+
 def test_fuzzy_keys_find_every_pair():
     rng = np.random.default_rng(11)
     a = rng.integers(-(2**63), 2**63, 3000, dtype=np.int64)
