@@ -202,14 +202,18 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
 
 
 def label(marked: DataFrame) -> DataFrame:
-    """Adds ``component_id`` to rows of (doc_id, fp, ...)."""
+    """Adds ``component_id`` and ``root`` to rows of (doc_id, fp, ...).
+
+    ``root`` is the component's least fingerprint. It alone names a component: ``component_id``
+    is null for all without doc_ids and can be shared where a doc_id repeats.
+    """
     fps = marked.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(fps.select("fp")))
     fps = fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
     least = fps.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = lookup(fps, least, ["root"], "inner").select("fp", "component_id")
+    named = lookup(fps, least, ["root"], "inner").select("fp", "component_id", "root")
     return lookup(marked, named, ["fp"], "inner")
 
 
@@ -222,7 +226,7 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     mark = fingerprints(docs, [F.col("doc_id"), *row_key()], size)
     mark = mark.groupBy("doc_id", "_id", "_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
     mark = label(materialise(mark, "fingerprints"))
-    best = mark.groupBy("component_id").agg(
+    best = mark.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id", "n")).alias("k")
     )
     best = materialise(best.select("k._id", "k._hash", "k.n"), "kept")

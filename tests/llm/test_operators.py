@@ -280,6 +280,13 @@ def test_the_row_that_stays_may_repeat(spark):
     assert sorted(map(tuple, kept.collect()), key=lambda r: r[2]) == want
 
 
+def test_unrelated_rows_without_a_name_of_their_own_stay(spark):
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in ("ant", "bee", "cow", "dog")]
+    rows = list(zip([None, None, 7, 7], texts, strict=True)) + [(None, texts[0]), (9, texts[2])]
+    kept = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    assert {(r.doc_id, r.text) for r in kept.collect()} == set(rows[:4]) and kept.count() == 4
+
+
 def test_fuzzy_keys_find_every_pair():
     rng = np.random.default_rng(11)
     a = rng.integers(-(2**63), 2**63, 3000, dtype=np.int64)
