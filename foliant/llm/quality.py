@@ -2,19 +2,22 @@
 
 Each rule rejects documents whose measure exceeds a cutoff. Labelled documents are split by hash:
 one half chooses, the other certifies. Per stratum and rule the choosing half proposes the cutoff
-that rejects most bad and fewest good documents, if any is worth taking. The proposal stands if
-the exact binomial tail P[Bin(n, risk) <= k] of the holdout is at most ``delta / tests``, where
-``n`` counts its good documents, ``k`` those that would be rejected, and ``tests`` all proposals
-(Bonferroni). ``risk`` is the allowed false rejection divided by the number of rules. So with
-probability ``1 - delta`` no stratum loses more than ``ALLOWED`` of its good documents to all
-rules together; a stratum with too few labels has no cutoff.
+that rejects most bad and fewest good documents, if any is worth taking and keeps its false
+rejections within ``ALLOWED``. It also puts the rules of a stratum in order, those with the fewest
+false rejections first. The holdout certifies the longest beginning of that order whose rules
+together have an exact binomial tail P[Bin(n, ALLOWED) <= k] of at most ``DELTA / strata``: ``n``
+counts its good documents, ``k`` those that any of the rules rejects, each once, and ``strata``
+those with a proposal (Bonferroni). ``k`` never falls along the order, so the first beginning
+that loses too much is passed by mistake with at most that probability, and a longer one only if
+it is passed too. So with probability ``1 - DELTA`` no stratum loses more than ``ALLOWED`` of its
+good documents to all rules together; a stratum with too few labels has no cutoff.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ordered import lookup
@@ -170,34 +173,43 @@ def thresholds(features: DataFrame, labels: DataFrame) -> DataFrame:
     )
     rows = features.where(~base_failed()).select("doc_id", "stratum", *ratios()).join(good, "doc_id")
     rows = rows.withColumn("holdout", F.crc32(F.col("doc_id").cast("string")) % 2 == 0)
+    rows = materialise(rows, "labelled")
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("rule"), F.col(m).alias("value")) for m in MEASURES]))
-    cells = rows.select("stratum", "holdout", "quality", each.alias("c")).select(
-        "stratum", "holdout", "quality", "c.rule", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"),
-        "c.value",
-    )
-    hit = F.col("value") > F.col("cutoff")
-    ok, held = F.col("quality") == 1, F.col("holdout")
+    cells = rows.where("not holdout").select("stratum", "quality", each.alias("c")).select(
+        "stratum", "quality", "c.rule", F.explode(F.array(*map(F.lit, CUTOFFS))).alias("cutoff"), "c.value"
+    )
+    hit, ok = F.col("value") > F.col("cutoff"), F.col("quality") == 1
     count = lambda c: F.count(F.when(c, 1))
     sums = cells.groupBy("stratum", "rule", "cutoff").agg(
-        count(ok & held).alias("n"),
-        count(ok & held & hit).alias("k"),
-        count(ok & ~held & hit).alias("good_hit"),
-        count(ok & ~held).alias("good"),
-        count(~ok & ~held & hit).alias("bad_hit"),
-        count(~ok & ~held).alias("bad"),
-    )
-    gain = F.col("bad_hit") / F.greatest("bad", F.lit(1)) - WORTH * F.col("good_hit") / F.greatest("good", F.lit(1))
-    proposed = (
+        count(ok & hit).alias("good_hit"), count(ok).alias("good"),
+        count(~ok & hit).alias("bad_hit"), count(~ok).alias("bad"),
+    )
+    lost = F.col("good_hit") / F.greatest("good", F.lit(1))
+    gain = F.col("bad_hit") / F.greatest("bad", F.lit(1)) - WORTH * lost
+    best = (
         sums.withColumn("gain", gain)
-        .where("gain > 0")
+        .where((F.col("gain") > 0) & (lost <= ALLOWED))
         .groupBy("stratum", "rule")
-        .agg(F.max_by(F.struct("cutoff", "n", "k"), F.struct("gain", "cutoff")).alias("best"))
+        .agg(F.max_by(F.struct("cutoff", "good_hit", "gain"), F.struct("gain", "cutoff")).alias("best"))
         .select("stratum", "rule", "best.*")
     )
-    proposed = materialise(proposed, "cutoffs")
-    tests, risk = max(proposed.count(), 1), ALLOWED / len(MEASURES)
-    certified = (F.col("n") > 0) & (binomial_tail(F.col("n"), F.col("k"), risk) <= DELTA / tests)
-    return proposed.where(certified).select("stratum", "rule", "cutoff")
+    order = Window.partitionBy("stratum").orderBy("good_hit", F.desc("gain"), "rule")
+    proposed = materialise(best.select("stratum", "rule", "cutoff", F.row_number().over(order).alias("place")), "cutoffs")
+    strata = max(proposed.select("stratum").distinct().count(), 1)
+
+    # of every good holdout document the first rule that rejects it
+    limits = proposed.groupBy("stratum").pivot("rule", MEASURES).agg(F.first(F.struct("cutoff", "place")))
+    limits = limits.select("stratum", *[F.col(m).alias(f"l_{m}") for m in MEASURES])
+    held = lookup(rows.where(F.col("holdout") & ok), limits, ["stratum"], "inner")
+    first = F.least(*[F.when(F.col(m) > F.col(f"l_{m}.cutoff"), F.col(f"l_{m}.place")) for m in MEASURES])
+    found = held.groupBy("stratum").agg(
+        F.count(F.lit(1)).alias("n"), *[count(first <= j).alias(f"k{j}") for j in range(1, len(MEASURES) + 1)]
+    )
+    ks = F.array(*[F.col(f"k{j}") for j in range(1, len(MEASURES) + 1)])
+    tested = proposed.join(found.select("stratum", "n", ks.alias("ks")), "stratum")
+    tested = tested.withColumn("k", F.element_at("ks", F.col("place")))
+    certified = binomial_tail(F.col("n"), F.col("k"), ALLOWED) <= DELTA / strata
+    return tested.where(certified).select("stratum", "rule", "cutoff")
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -126,6 +126,23 @@ def test_quality_cutoffs(spark):
     assert {(r.good, r.kept): r["count"] for r in kept} == {(True, True): 6000, (False, False): 3000}
 
 
+def test_quality_cutoffs_of_ordinary_strata(spark):
+    text = "Plain words of a clean text come one after another and nothing here is odd at all, which suits us, number "
+    noisy = "".join(f"wo{i}$$ rd{i}## " for i in range(20))
+    sizes = {"en": 900, "de": 900, "xx": 60}
+    # every 100th clean text of "de" is all capitals: 1 % of them, within the bound
+    rows = [(lang, i, noisy if i % 3 == 0 else text.upper() if lang == "de" and i % 150 == 1 else text)
+            for lang, n in sizes.items() for i in range(n)]
+    rows = [(d, f"{t}{d}", lang, int(i % 3 > 0)) for d, (lang, i, t) in enumerate(rows)]
+    both = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    got = quality.judge(both, both.select("doc_id", "quality")).join(both, "doc_id")
+    kept = {tuple(r)[:3]: r["count"] for r in got.groupBy("lang", "quality", "kept").count().collect()}
+    assert kept[("en", 1, True)] == 600 and kept[("en", 0, False)] == 300
+    assert kept[("de", 0, False)] == 300 and kept.get(("de", 1, False), 0) <= 12
+    # a stratum with too few labels certifies nothing
+    assert kept[("xx", 1, True)] == 40 and kept[("xx", 0, True)] == 20 and len(kept) <= 7
+
+
 def test_language(spark, docs, none):
     en, de = "the house and the garden with that thing ", "das Haus und der Garten mit dem Ding nicht "
     rows = [(i, (en if i % 2 else de) * 5, "en" if i % 2 else "de") for i in range(40)]
