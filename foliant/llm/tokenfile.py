@@ -116,6 +116,7 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across spaces and line feeds.
 
+    Literals of special tokens in a text become those tokens, as the library does by default.
     Each distinct stretch between them is encoded by the library once while it is remembered, as
     the bytes of its ids. Words are remembered in two generations: those that come up again move
     to the newer one, and the older one goes when the newer is full.
@@ -123,7 +124,6 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         (self.mark,) = self.ids(MARK)

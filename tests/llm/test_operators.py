@@ -201,6 +201,19 @@ def test_token_files(docs, none):
     assert tokenfile.round_trip(none, WORDS, 2).count() == 0
 
 
+def test_literals_of_special_tokens(spark):
+    texts = ["a <|endoftext|> b", "x<|startoftext|>y\n<|endoftext|><|endoftext|>", "<|ENDOFTEXT|> plain", "a\x01<|endoftext|>"]
+    lib = Tokenizer.from_file(WORDS)
+    coded = [[*lib.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert coded[0] == [320, 49407, 321, 2]
+    want, at = [], 0
+    for d, ids in enumerate(coded):
+        want.append((d, at, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        at += len(ids)
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    same(tokenfile.round_trip(rows, WORDS, 2).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), want)
+
+
 def test_token_codes():
     rng = np.random.default_rng(5)
     ids = rng.choice([1, 200, 256, 70000, 2**31], 5000)
