@@ -249,9 +249,7 @@ def retrieval_statistics(spark, sf):
 )
 def retrieve_by_document(spark, sf):
     """One search per named document, merged per query (texts not compared)."""
-    found = R.retrieve_multi_doc(
-        I.vector_queries(spark, sf), I.chunks(spark, sf), near_dups=False
-    )
+    found = R.retrieve_multi_doc(I.vector_queries(spark, sf), I.chunks(spark, sf))
     return _out(found, "doc_id")
 
 
