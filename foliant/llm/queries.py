@@ -6,8 +6,23 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-
-from . import bpe, decontam, langid, quality, repeats, secrets, shards, simhash, tokenfile, urls
+from pyspark.sql import functions as F
+
+from . import (
+    bpe,
+    decontam,
+    hardneg,
+    langid,
+    manifest,
+    quality,
+    repeats,
+    secrets,
+    shards,
+    simhash,
+    sketch,
+    tokenfile,
+    urls,
+)
 
 Run = Callable[[SparkSession, str], DataFrame]
 
@@ -127,3 +142,102 @@ def op9_winnowed_contamination(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_simhash_groups(spark: SparkSession, sf: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf, "documents"))
+
+
+# unsigned CRC32 of a text, byte by byte
+CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split({0}, ''), lambda c: ascii(c)::BIGINT)), lambda a, b:
+  list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))))"""
+
+
+def _counted_sql(c: str) -> str:
+    return f"coalesce(octet_length(encode({c}::VARCHAR)) || ':' || {c}::VARCHAR, '-')"
+
+
+def _leaf_sql(text: str) -> str:
+    return "sha256(" + " || ".join(map(_counted_sql, ["doc_id", "source", "lang", "n_chars", text])) + ")"
+
+
+TREES_SQL = f"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, coalesce('1' || source, '0') AS g, {_leaf_sql("text")} AS leaf,
+    CASE WHEN {CRC_SQL.format("doc_id::VARCHAR")} % 2 = 0 THEN {_leaf_sql("replace(text, chr(10), '')")}
+         ELSE {_leaf_sql("text")} END AS changed FROM documents),
+p AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM l),
+t AS (SELECT g, 0 AS lvl, pos, leaf AS h, count(*) OVER (PARTITION BY g) AS n FROM p
+  UNION ALL SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM t WHERE n > 1 GROUP BY g, lvl, n, pos // 3),
+s AS (SELECT g, h AS subroot, row_number() OVER (ORDER BY g) - 1 AS spos FROM t WHERE n = 1),
+r AS (SELECT 0 AS lvl, spos AS pos, subroot AS h, count(*) OVER () AS n FROM s
+  UNION ALL SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+  FROM r WHERE n > 1 GROUP BY lvl, n, pos // 3),
+"""
+
+
+def _path_sql(rows: str, key: str, nodes: str, on: str) -> str:
+    """Left and right siblings of every row on every level that has more than one node."""
+    up = f"(q.{key} // (3 ** z.lvl)::BIGINT)"
+    return f"""(SELECT q.*, list({{'a': a, 'b': b}} ORDER BY lvl) FILTER (lvl IS NOT NULL) AS path FROM {rows} q LEFT JOIN LATERAL (
+    SELECT z.lvl, coalesce(string_agg(z.h, '' ORDER BY z.pos) FILTER (z.pos < {up}), '') AS a,
+      coalesce(string_agg(z.h, '' ORDER BY z.pos) FILTER (z.pos > {up}), '') AS b
+    FROM {nodes} z WHERE z.n > 1 AND z.pos // 3 = {up} // 3{on} GROUP BY z.lvl) ON true GROUP BY ALL)"""
+
+
+MANIFEST_SQL = TREES_SQL + f"""d AS {_path_sql("p", "pos", "t", " AND z.g = q.g")},
+e AS {_path_sql("s", "spos", "r", "")},
+f AS (SELECT doc_id, leaf, changed, subroot, (SELECT h FROM r WHERE n = 1) AS root,
+    list_concat(coalesce(d.path, []), coalesce(e.path, [])) AS path FROM d JOIN e USING (g)),
+v AS (SELECT *, list_reduce(list_prepend({{'a': changed, 'b': ''}}, path),
+    lambda x, y: {{'a': sha256(y.a || x.a || y.b), 'b': ''}}).a AS folded_root FROM f)
+SELECT doc_id, leaf, subroot, root, sha256(coalesce(array_to_string(list_transform(path, lambda x: x.a || x.b), ''), '')) AS proof_sha256,
+  folded_root, folded_root = root AS verified FROM v"""
+
+
+@query(MANIFEST_SQL)
+def op11_merkle_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    text = F.col("text")
+    even = F.crc32(F.col("doc_id").cast("string")) % 2 == 0
+    changed = F.when(even, F.translate(text, "\n", "")).otherwise(text)
+    rows = manifest.verify(manifest.manifest(table(spark, sf, "documents"), changed))
+    return rows.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+SHINGLES_SQL = """
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 1) + 1),
+    lambda i: array_to_string(w[i:i + 3], ' '))) END AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS g, len(s) AS n FROM s),
+p AS (SELECT a.doc_id AS u, b.doc_id AS v FROM e a JOIN e b USING (g) WHERE a.doc_id <> b.doc_id
+  GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+c AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT c.x, p.v FROM c JOIN p ON c.y = p.u)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, m AS component_id, doc_id = m AS kept
+FROM s JOIN (SELECT x, min(y) AS m FROM c GROUP BY 1) ON x = doc_id"""
+
+
+@query(SHINGLES_SQL)
+def op13_fast_sketch_groups(spark: SparkSession, sf: str) -> DataFrame:
+    rows = sketch.near_duplicates(table(spark, sf, "documents"))
+    return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+NEGATIVES_SQL = """
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, list_dot_product(a.q, b.q)::BIGINT AS score
+  FROM v a JOIN v b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id),
+p AS (SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5)
+SELECT p.a AS anchor_id, p.b AS positive_id,
+  row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b)::INTEGER AS rank, s.b AS negative_id,
+  p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 50 * p.score <= 100 * s.score AND 100 * s.score <= 95 * p.score
+QUALIFY rank <= 3"""
+
+
+@query(NEGATIVES_SQL)
+def op12_packed_hard_negatives(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = rows.select("vec_id", label.alias("label"), hardneg.quantised(F.col("embedding"), 256).alias("q"))
+    return hardneg.mine(vectors, F.col("vec_id") % 50 == 0)
