@@ -10,10 +10,11 @@ similarity, with the concentration of independent draws.
 Rows with the same set are one class. ``ROWS`` coordinates in a band make a key; a pair at
 similarity 0.8 misses all bands with probability 1.3e-7. A key's classes are first compared with
 its least class alone, and what that exact comparison links is joined to components. Only keys
-whose classes lie in different components afterwards are looked at pair by pair, in blocks of
-``SIDE`` sketches: of pairs in different components those are compared exactly whose sizes allow
-the threshold and whose sketches agree in so many coordinates that a pair at the threshold falls
-short with probability below 1e-9. A group of copies thus costs one comparison a member.
+whose classes lie in different components afterwards are looked at further, in blocks of ``SIDE``
+classes that meet two by two in a task: of pairs in different components those are compared, on
+their whole sets, whose sizes allow the threshold and whose sketches agree in so many coordinates
+that a pair at the threshold falls short with probability below 1e-6. No pair leaves a task that
+is not a link between two components, so a group of copies costs rows as its size, not its square.
 """
 
 from __future__ import annotations
@@ -38,9 +39,11 @@ BANDS = 40
 ROWS = 5
 BINS = BANDS * ROWS
 # classes of one key whose sketches are compared in a task with those of another block
-SIDE = 256
-# coordinates that pairs at the threshold agree in, less six and a half standard deviations
-LEAST_EQUAL = int(BINS * 0.8 - 6.5 * (BINS * 0.8 * 0.2) ** 0.5)
+SIDE = 512
+# elements of their sets
+HELD = 1 << 19
+# coordinates that pairs at the threshold agree in, less five and a half standard deviations
+LEAST_EQUAL = int(BINS * 0.8 - 5.5 * (BINS * 0.8 * 0.2) ** 0.5)
 # elements that one round hashes at once
 CHUNK = 1 << 18
 
@@ -203,39 +206,100 @@ def confirmed(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Da
     return both.select("u", "v", "mine", "other").mapInPandas(compare, "u long, v long")
 
 
-def crossing(members: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) of one key and different components that sizes and sketches allow.
+def runs(batches: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
+    """The groups of sorted rows, each whole, also where it spans batches."""
+    held = None
+    for b in batches:
+        held = b if held is None or not len(held) else pd.concat([held, b], ignore_index=True)
+        if not len(held):
+            continue
+        differs = np.zeros(len(held) - 1, dtype=bool)
+        for k in keys:
+            values = held[k].to_numpy()
+            differs |= values[1:] != values[:-1]
+        edges = np.nonzero(differs)[0] + 1
+        for start, end in zip([0, *edges[:-1]], edges, strict=True) if len(edges) else ():
+            yield held.iloc[start:end]
+        held = held.iloc[edges[-1] :] if len(edges) else held
+    if held is not None and len(held):
+        yield held
+
+
+def linked(left: np.ndarray, right: np.ndarray, b: pd.DataFrame, size: int, percent: int) -> list[tuple[int, int]]:
+    """A forest of links between rows ``left`` and ``right`` of one key that different components lack.
+
+    A pair is compared under the first band that it shares, and only if its sizes and sketches
+    allow the threshold; what is left is counted on the whole sets.
+    """
+    node, root, n = (b[c].to_numpy() for c in ("node", "root", "n"))
+    rows = np.frombuffer(b"".join(b["sketch"]), dtype=np.uint8).reshape(len(b), BINS)
+    bands, band = np.stack(b["bands"].to_numpy()), int(b["band"].iloc[0])
+    wanted: list[tuple[int, np.ndarray]] = []
+    within = len(left) == len(right) and (left == right).all()
+    for k in left:
+        to = right[node[right] > node[k]] if within else right
+        to = to[(root[to] != root[k]) & (100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k]))]
+        to = to[(bands[to] == bands[k]).argmax(1) == band] if len(to) else to
+        to = to[(rows[to] == rows[k]).sum(1) >= LEAST_EQUAL] if len(to) else to
+        if len(to):
+            wanted.append((int(k), to))
+    if not wanted:
+        return []
+    need = np.unique(np.concatenate([[k for k, _ in wanted], *[to for _, to in wanted]]))
+    elements, bounds = shingle_hashes(b["text"].iloc[need].tolist(), size)
+    _, elements = np.unique(elements, return_inverse=True)
+    place = np.zeros(len(b), dtype=np.int64)
+    place[need] = np.arange(len(need))
+    mark = np.zeros(int(elements.max()) + 1, dtype=np.int64)
+    up: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while up.get(x, x) != x:
+            x = up[x]
+        return x
+
+    out = []
+    for k, to in wanted:
+        to = to[[find(int(root[t])) != find(int(root[k])) for t in to]]
+        if not len(to):
+            continue
+        own = elements[bounds[place[k]] : bounds[place[k] + 1]]
+        mark[own] = 1
+        for t in to:
+            both = int(mark[elements[bounds[place[t]] : bounds[place[t] + 1]]].sum())
+            x, y = find(int(root[t])), find(int(root[k]))
+            if x != y and 100 * both >= percent * (int(n[t]) + int(n[k]) - both):
+                up[max(x, y)] = min(x, y)
+                out.append((int(max(node[t], node[k])), int(min(node[t], node[k]))))
+        mark[own] = 0
+    return out
+
 
-    ``members``: key, node, root, n, sketch. A key's classes are dealt to blocks; each pair of
-    blocks meets in one task, which holds two blocks of sketches and emits only what passes.
+def crossing(members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (u, v) of one key between different components, enough to connect what is connected.
+
+    ``members``: key, band, node, root, n, bands, sketch, text. A key's classes are dealt to
+    blocks by number and by size; each pair of blocks meets in one task, which holds two blocks
+    and emits at most one link a class.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    sizes = members.groupBy("key").agg(F.greatest(F.count(F.lit(1)) / SIDE, F.sum("n") / HELD).alias("m"))
     dealt = lookup(members, sizes, ["key"], "inner")
-    blocks = F.ceil(F.col("m") / SIDE)
+    blocks = F.ceil("m")
     dealt = dealt.withColumn("own", F.pmod(F.xxhash64("node"), blocks)).withColumn(
         "other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))
     )
-    dealt = dealt.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "root", "n", "sketch"
-    )
+    keys = ["key", "i", "j"]
+    columns = ["own", "band", "node", "root", "n", "bands", "sketch", "text"]
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), *columns)
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in runs(batches, keys):
+            own, (i, j) = b["own"].to_numpy(), (int(b[c].iloc[0]) for c in ("i", "j"))
+            left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
+            if len(left) and len(right) and (i != j or len(left) > 1):
+                yield pd.DataFrame(linked(left, right, b, size, percent), columns=["u", "v"], dtype=np.int64)
 
-    def meet(b: pd.DataFrame) -> pd.DataFrame:
-        i, j = int(b["i"].iloc[0]), int(b["j"].iloc[0])
-        node, root, n = (b[c].to_numpy() for c in ("node", "root", "n"))
-        rows = np.frombuffer(b"".join(b["sketch"]), dtype=np.uint8).reshape(len(b), BINS)
-        own = b["own"].to_numpy()
-        left, right = np.nonzero(own == i)[0], np.nonzero(own == j)[0]
-        us, vs = [], []
-        for k in left:
-            to = right[node[right] > node[k]] if i == j else right
-            to = to[(root[to] != root[k]) & (100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k]))]
-            to = to[(rows[to] == rows[k]).sum(1) >= LEAST_EQUAL]
-            us.append(np.maximum(node[to], node[k]))
-            vs.append(np.minimum(node[to], node[k]))
-        none = np.zeros(0, dtype=np.int64)
-        return pd.DataFrame({"u": np.concatenate([none, *us]), "v": np.concatenate([none, *vs])})
-
-    return dealt.groupBy("key", "i", "j").applyInPandas(meet, "u long, v long").distinct()
+    return dealt.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(meet, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD) -> DataFrame:
@@ -259,7 +323,7 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD)
     )
     # what is needed of each class is in the row that stands for it
     stands = lookup(some, classes.select(F.col("node").alias("row"), "node"), ["row"], "inner")
-    keys = stands.select("node", "n", F.explode("bands").alias("key"))
+    keys = stands.select("node", "n", F.posexplode("bands").alias("band", "key"))
     spans = keys.groupBy("key").agg(F.min("node").alias("v"), F.max("node").alias("top")).where("v <> top")
     spans = spans.select("key", "v")
     keys = materialise(lookup(keys, spans, ["key"], "inner"), "keys")
@@ -277,14 +341,14 @@ def near_duplicates(docs: DataFrame, size: int = SIZE, percent: int = THRESHOLD)
 
     roots = components(edges)
     held = keys.join(roots.withColumnRenamed("root", "_root"), "node", "left")
-    held = held.select("key", "node", F.coalesce("_root", "node").alias("root"))
+    held = held.select("key", "band", "node", F.coalesce("_root", "node").alias("root"))
     held = materialise(held, "held")
     apart = held.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     members = lookup(held, apart, ["key"], "left_semi")
-    members = lookup(members, stands.select("node", "n", "sketch"), ["node"], "inner")
-    tried = stars.select("u", "v")
-    pairs = crossing(members, percent).join(tried, ["u", "v"], "left_anti")
-    edges = edges.union(confirmed(materialise(pairs, "pairs"), texts, size, percent))
+    members = lookup(members, stands.select("node", "n", "bands", "sketch"), ["node"], "inner")
+    members = lookup(members, texts, ["node"], "inner")
+    more = materialise(crossing(members, size, percent), "pairs")
+    edges = edges.union(confirmed(more, texts, size, percent))
 
     roots = materialise(components(edges), "roots")
     named = classes.join(roots, "node", "left").select("digest", "first", F.coalesce("root", "node").alias("root"))

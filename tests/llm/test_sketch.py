@@ -55,7 +55,7 @@ def edited(words, n, rng):
 
 
 def test_groups_of_copies(spark, monkeypatch):
-    monkeypatch.setattr(sketch, "SIDE", 8)
+    monkeypatch.setattr(sketch, "SIDE", 16)
     rng = random.Random(4)
     rows = []
     for g in range(6):
