@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator
 from string import ascii_lowercase, ascii_uppercase
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,17 @@ def bounded_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def worker_memory(name: str, make: Callable[[], object]) -> object:
+    """What a Python worker keeps from task to task under ``name``; made where it has none.
+
+    Functions come to a task with globals of their own, so this is held by a module of the worker.
+    """
+    held = sys.modules.setdefault("_foliant_worker_memory", ModuleType("_foliant_worker_memory")).__dict__
+    if name not in held:
+        held[name] = make()
+    return held[name]
+
+
 def text_blocks(texts: list[str | None], limit: int = BLOCK_BYTES) -> Iterator[tuple[int, list[str]]]:
     """Consecutive texts (null as empty) in blocks of about ``limit`` characters, with the first index."""
     first, held, size = 0, [], 0

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from ..session import shared_dir
-from .common import bounded_batches, text_blocks
+from .common import bounded_batches, text_blocks, worker_memory
 
 CHUNK = 8
 RANK_BLOCK = 512
@@ -180,7 +180,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
         return pd.DataFrame([row], columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, seq, size, ids, doc_ids, part = WordEncoder(tokenizer), 0, 0, [], [], 0
+        # known words outlast the task; their number is bounded
+        encoder = worker_memory(f"words of {tokenizer}", lambda: WordEncoder(tokenizer))
+        seq, size, ids, doc_ids, part = 0, 0, [], [], 0
         end = np.array([end_id], dtype=ID).tobytes()
         for b in batches:
             part = int(b["part"].iloc[0]) if len(b) else part
@@ -201,7 +203,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> Non
 
 def read_documents(spark, path: str) -> DataFrame:
     """Per document of the segments at ``path``: doc_id, start, n_tokens, ids_crc32."""
-    bounded_batches(spark, 4)
+    bounded_batches(spark)
     files = spark.read.schema(SCHEMA).parquet(path)
     # segments are many, ranges few: the running sum over ranges is one small window
     parts = files.groupBy("part").agg(F.sum("n_ids").alias("n"))
