@@ -198,14 +198,13 @@ def named_runs(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            parts = []
-            for doc, h, t in zip(b["_doc"], b["_hash"], b["text"], strict=True):
-                name, first, last, n = runs_of(t.encode("utf-8", "surrogatepass"), length)
-                if len(name):
-                    own = {"_doc": doc, "_hash": h, "name": name, "first": first, "last": last, "n": n}
-                    parts.append(pd.DataFrame(own))
-            if parts:
-                yield pd.concat(parts)
+            found = [runs_of(t.encode("utf-8", "surrogatepass"), length) for t in b["text"]]
+            counts = [len(f[0]) for f in found]
+            if not sum(counts):
+                continue
+            name, first, last, n = (np.concatenate([f[i] for f in found]) for i in range(4))
+            doc, own = (np.repeat(b[c].to_numpy(), counts) for c in ("_doc", "_hash"))
+            yield pd.DataFrame({"_doc": doc, "_hash": own, "name": name, "first": first, "last": last, "n": n})
 
     rows = docs.where(F.octet_length("text") >= length).select(*_row(), "text")
     return rows.mapInPandas(run, "_doc long, _hash long, name long, first int, last int, n int")
@@ -308,19 +307,22 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
     rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    runs = named_runs(rows, length)
-    again = runs.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1").select("name")
-    runs = lookup(runs.drop("n"), again, ["name"], "inner")
+    runs = materialise(named_runs(rows, length), "runs")
+    again = materialise(runs.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "names")
+    frequent = again.where(F.col("n") > LARGEST_GROUP).limit(1).count() > 0
+    runs = lookup(runs.drop("n"), again.select("name"), ["name"], "inner")
     runs = runs.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("name", "first", "last")).alias("runs"))
     copies = rows.select("text", *_row()).join(runs, ["_doc", "_hash"])
     found = materialise(copies, "repeats")
     strings = _strings(found, length)
-    groups = strings.select("name", "a", "b").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
-    large = materialise(groups.where(F.col("n") > LARGEST_GROUP).select("name"), "large-groups")
-    small = lookup(strings, large, ["name"], "left_anti")
-    starts = _sorted_groups(small, length).union(
-        _counted_windows(lookup(strings, large, ["name"], "left_semi"), length)
-    )
+    if frequent:  # distinct strings are counted only where a name has that many runs
+        groups = strings.select("name", "a", "b").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        large = materialise(groups.where(F.col("n") > LARGEST_GROUP).select("name"), "large-groups")
+        starts = _sorted_groups(lookup(strings, large, ["name"], "left_anti"), length).union(
+            _counted_windows(lookup(strings, large, ["name"], "left_semi"), length)
+        )
+    else:
+        starts = _sorted_groups(strings, length)
     starts = materialise(starts, "starts")
     where = _occurrences(found.dropDuplicates(["_doc", "_hash"]), length)
     cuts = lookup(where, starts.groupBy("a", "b").agg(F.collect_set(F.struct("low", "high")).alias("s")), ["a", "b"], "inner")
