@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,33 +14,56 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..functions import lexicon as L
 from .runner import latest_per_key, run_to_table
 
+DAY = 86_400_000_000
 
-def spaced_stream(events: DataFrame, key: str, id_col: str, at: str, gap: int, idle: str = "7 days") -> DataFrame:
-    """Adds to (key, id) whether an event is at least ``gap`` microseconds after the last kept one.
 
-    Every row comes out, however late: one from before the last kept event of an earlier
-    micro-batch is not kept. State is one time per key. The watermark runs on arrival, so that
-    it drops no rows; it only ends the state of keys of which nothing has come for ``idle``,
-    which should be longer than ``gap`` and the longest delay of a source.
+def spaced_stream(
+    events: DataFrame, key: str, id_col: str, at: str, gap: int, late: int = 7 * DAY, idle: str = "7 days"
+) -> DataFrame:
+    """Verdicts (key, id, kept, version): is an event at least ``gap`` microseconds after the last kept one?
+
+    Events may come in any order. State is the key's events of the last ``late`` microseconds
+    before its newest one, with their verdicts, and the last kept time before them. An event that
+    comes late is put in its place, the times after it are judged again, and every event whose
+    verdict changed comes out once more with a higher ``version``: an event's verdict is that of
+    its highest version, the same as if all had come in order (``final_verdicts``). An event older
+    than the state is judged by the last kept time alone. Equal times count as one event.
+
+    The watermark runs on arrival, so that it drops no rows; it only ends the state of keys of
+    which nothing has come for ``idle``.
     """
     schema = T.StructType(
-        [events.schema[key], events.schema[id_col], T.StructField("kept", T.BooleanType())]
+        [
+            events.schema[key],
+            events.schema[id_col],
+            T.StructField("kept", T.BooleanType()),
+            T.StructField("version", T.LongType()),
+        ]
     )
+    held_ids = events.schema[id_col].dataType.simpleString()
 
     def step(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        last = state.get[0] if state.exists else None
-        rows = pd.concat([f[[id_col, "_at", "_ms"]] for f in frames]).sort_values("_at")
-        kept = []
-        for t in rows["_at"].to_numpy():
-            fresh = last is None or int(t) - last >= gap
-            last = int(t) if fresh else last
-            kept.append(fresh)
-        state.update((last,))
-        state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
-        yield pd.DataFrame({key: k[0], id_col: rows[id_col].to_numpy(), "kept": kept})
+        ids, times, verdicts, base, version = state.get if state.exists else ([], [], [], None, 0)
+        new = pd.concat([f[[id_col, "_at", "_ms"]] for f in frames])
+        held = pd.DataFrame({id_col: list(ids), "_at": list(times), "old": list(verdicts)}, dtype=object)
+        fresh = pd.DataFrame({id_col: new[id_col].tolist(), "_at": new["_at"].tolist(), "old": None}, dtype=object)
+        rows = pd.concat([held, fresh], ignore_index=True)
+        at = rows["_at"].to_numpy(dtype=np.int64)
+        order = np.argsort(at, kind="stable")
+        rows, at = rows.iloc[order], at[order]
+        kept = spaced_from(at, base, gap)
+        changed = np.array([o is None or o != v for o, v in zip(rows["old"], kept, strict=True)])
+        version += 1
+        stays = at > at[-1] - late
+        gone = at[~stays & kept]
+        base = int(gone[-1]) if len(gone) else base
+        state.update((rows[id_col][stays].tolist(), at[stays].tolist(), kept[stays].tolist(), base, version))
+        state.setTimeoutTimestamp(max(int(new["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
+        out = rows[id_col][changed].tolist()
+        yield pd.DataFrame({key: k[0], id_col: out, "kept": kept[changed], "version": version})
 
     return (
         events.withColumn("_seen", F.current_timestamp())
@@ -47,46 +71,86 @@ def spaced_stream(events: DataFrame, key: str, id_col: str, at: str, gap: int, i
         .select(key, id_col, "_seen", F.unix_micros(at).alias("_at"), F.unix_millis("_seen").alias("_ms"))
         .groupBy(key)
         .applyInPandasWithState(
-            step, schema, "last long", "append", GroupStateTimeout.EventTimeTimeout
+            step,
+            schema,
+            f"ids array<{held_ids}>, times array<long>, verdicts array<boolean>, base long, version long",
+            "append",
+            GroupStateTimeout.EventTimeTimeout,
         )
     )
 
 
-def stream_throttle(events: DataFrame, key: str, id_col: str, at: str, gap: int) -> DataFrame:
+def spaced_from(at: np.ndarray, last: int | None, gap: int) -> np.ndarray:
+    """Which of the ascending times are kept, given the last kept one before them; equal times alike."""
+    kept = np.zeros(len(at), dtype=bool)
+    i = 0 if last is None else int(np.searchsorted(at, last + gap, side="left"))
+    while i < len(at):
+        kept[i : int(np.searchsorted(at, at[i], side="right"))] = True
+        i = int(np.searchsorted(at, at[i] + gap, side="left"))
+    return kept
+
+
+def final_verdicts(sink: DataFrame, key: str, id_col: str) -> DataFrame:
+    """The verdict of every event's highest version."""
+    return sink.groupBy(key, id_col).agg(F.max_by("kept", "version").alias("kept"))
+
+
+def stream_throttle(
+    events: DataFrame, key: str, id_col: str, at: str, gap: int, late: int = 7 * DAY
+) -> DataFrame:
     """Progress events with whether they are forwarded."""
-    out = run_to_table(spaced_stream(events, key, id_col, at, gap)).drop("batch_id")
+    out = final_verdicts(run_to_table(spaced_stream(events, key, id_col, at, gap, late)), key, id_col)
     return out.withColumnRenamed("kept", "forwarded")
 
 
-def stream_memo(queries: DataFrame, ttl: int = L.MEMO_TTL_SECONDS) -> DataFrame:
+def stream_memo(queries: DataFrame, ttl: int = L.MEMO_TTL_SECONDS, late: int = 7 * DAY) -> DataFrame:
     """Questions (memo_key, query_id, asked_at) with whether a result of the last ``ttl`` s exists."""
-    spaced = spaced_stream(queries, "memo_key", "query_id", "asked_at", ttl * 1_000_000 + 1)
-    return run_to_table(spaced).select("memo_key", "query_id", (~F.col("kept")).alias("hit"))
+    spaced = spaced_stream(queries, "memo_key", "query_id", "asked_at", ttl * 1_000_000 + 1, late)
+    verdicts = final_verdicts(run_to_table(spaced), "memo_key", "query_id")
+    return verdicts.select("memo_key", "query_id", (~F.col("kept")).alias("hit"))
 
 
-def partial_answer_stream(tokens: DataFrame, key: str, limit: int | None = None) -> DataFrame:
-    """(key, seq, token) to the answer so far; an empty token clears it.
+def partial_answer_stream(
+    tokens: DataFrame, key: str, limit: int | None = None, idle: str = "7 days"
+) -> DataFrame:
+    """(key, seq, token) to the answer so far, in the order of ``seq`` however tokens arrive.
 
-    With a ``limit`` an answer stops growing at that many characters, which bounds the state.
+    An empty token clears the answer: what has a smaller ``seq`` no longer counts, also if it
+    arrives later. State is the tokens after the last clearing; it ends when nothing has come for
+    ``idle``. With a ``limit`` an answer stops growing at that many characters, and what lies
+    beyond leaves the state.
     """
     schema = T.StructType([tokens.schema[key], T.StructField("answer", T.StringType())])
 
     def grow(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        text = state.get[0] if state.exists else ""
-        rows = pd.concat([f[["seq", "token"]] for f in frames]).sort_values("seq")
-        parts, size = [text], len(text)
-        for token in rows["token"]:
-            if not token:
-                parts, size = [], 0
-            elif limit is None or size <= limit:
-                parts.append(token)
-                size += len(token)
-        text = "".join(parts)
-        state.update((text,))
-        yield pd.DataFrame({key: [k[0]], "answer": [text]})
-
-    return tokens.groupBy(key).applyInPandasWithState(
-        grow, schema, "answer string", "update", GroupStateTimeout.NoTimeout
+        if state.hasTimedOut:
+            state.remove()
+            return
+        seqs, parts, cleared = state.get if state.exists else ([], [], None)
+        new = pd.concat([f[["seq", "token", "_ms"]] for f in frames])
+        rows = [*zip(seqs, parts, strict=True), *zip(new["seq"].tolist(), new["token"].tolist(), strict=True)]
+        ends = [s for s, t in rows if not t] + ([] if cleared is None else [cleared])
+        cleared = max(ends, default=None)
+        rows = sorted((r for r in rows if r[1] and (cleared is None or r[0] > cleared)), key=lambda r: r[0])
+        if limit is not None:
+            ahead = np.cumsum([0, *[len(t) for _, t in rows]])
+            rows = rows[: int(np.searchsorted(ahead[:-1], limit, side="right"))]
+        state.update(([s for s, _ in rows], [t for _, t in rows], cleared))
+        state.setTimeoutTimestamp(max(int(new["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
+        yield pd.DataFrame({key: [k[0]], "answer": ["".join(t for _, t in rows)]})
+
+    return (
+        tokens.withColumn("_seen", F.current_timestamp())
+        .withWatermark("_seen", idle)
+        .select(key, F.col("seq").cast("long"), "token", "_seen", F.unix_millis("_seen").alias("_ms"))
+        .groupBy(key)
+        .applyInPandasWithState(
+            grow,
+            schema,
+            "seqs array<long>, parts array<string>, cleared long",
+            "update",
+            GroupStateTimeout.EventTimeTimeout,
+        )
     )
 
 

@@ -1,6 +1,7 @@
 """Branches that the driver's tables do not reach, on hand-made rows."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,6 +15,7 @@ from foliant.operators import telemetry as O
 from foliant.operators import validate as V
 from foliant.functions import lexicon as L
 from foliant.functions.substrings import find_substrings
+from foliant.operators.spacing import spaced
 from foliant.session import shared_dir
 from foliant.sources import files as SF
 from foliant.sources import json_logs as SJ
@@ -21,7 +23,7 @@ from foliant.sources import tables as ST
 from foliant.streaming import index as SI
 from foliant.streaming import keyed as SK
 from foliant.streaming import states as SS
-from foliant.streaming.runner import replay
+from foliant.streaming.runner import latest_per_key, replay, run_to_table
 
 
 def one(spark, value, make, kind="string"):
@@ -295,15 +297,46 @@ def test_partial_answers_grow_over_batches_and_clear(spark):
     assert [(r.chat, r.answer) for r in out] == [("x", "cd")]
 
 
-def test_late_events_of_keyed_streams_all_come_out(spark):
+def test_answers_do_not_depend_on_arrival(spark):
+    said = [(1, "old "), (2, ""), (3, "a "), (4, "b "), (5, "c "), (6, "d ")]
+    # the clearing token and those before it arrive last
+    rows = [("x", s, t, -s) for s, t in said] + [("y", s, t, s * 7 % 5) for s, t in said if t]
+    df = spark.createDataFrame(rows, "chat string, seq long, token string, arrival long")
+    out = SK.stream_partial_message(replay(df, "arrival", 3).drop("arrival"), "chat").collect()
+    assert {r.chat: r.answer for r in out} == {"x": "a b c d ", "y": "old a b c d "}
+    short = SK.partial_answer_stream(replay(df, "arrival", 3).drop("arrival"), "chat", limit=3)
+    last = latest_per_key(run_to_table(short, "update"), ["chat"]).collect()
+    assert {r.chat: r.answer for r in last} == {"x": "a b ", "y": "old "}
+
+
+def test_a_late_question_changes_earlier_verdicts(spark):
+    # 0 s arrives last: it stores, and nothing had been stored before it
+    rows = [("k", 1, 10_000, 1), ("k", 2, 10_100, 2), ("k", 3, 20_000, 3), ("k", 4, 0, 4), ("k", 5, 9_900, 5)]
+    df = spark.createDataFrame(rows, "memo_key string, query_id long, s long, arrival long")
+    df = df.withColumn("asked_at", F.timestamp_seconds("s"))
+    out = {r.query_id: r.hit for r in SK.stream_memo(replay(df, "arrival", 5).drop("arrival"), ttl=300).collect()}
+    assert out == {4: False, 5: False, 1: True, 2: True, 3: False}
+
+
+@pytest.mark.parametrize("parts", [1, 4, 9])
+def test_shuffled_events_give_the_batch_verdicts(spark, parts):
+    rng = random.Random(parts)
+    rows = [(rng.choice("ab"), i, rng.randrange(5000), rng.random()) for i in range(200)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, arrival double").withColumn("at", F.timestamp_seconds("s"))
+    batch = spaced(df.withColumn("t", F.unix_micros("at")), ["k"], "t", 90_000_000)
+    want = {r.id: r.kept for r in batch.collect()}
+    out = SK.stream_throttle(replay(df, "arrival", parts).drop("arrival"), "k", "id", "at", 90_000_000)
+    assert {r.id: r.forwarded for r in out.collect()} == want
+
+
+def test_events_older_than_the_state_still_come_out(spark):
     day = 86400
     # every other event is a day older than the one before it
     rows = [("k", i, 1_700_000_000 + 60 * i - day * (i % 2)) for i in range(120)]
     df = spark.createDataFrame(rows, "k string, id long, s long").withColumn("at", F.timestamp_seconds("s"))
-    out = {r.id: r.kept for r in SK.stream_throttle(replay(df, "id", 4), "k", "id", "at", 90 * 1_000_000)
-           .withColumnRenamed("forwarded", "kept").collect()}
-    assert len(out) == 120
-    assert not any(kept for i, kept in out.items() if i % 2 and i >= 60)
+    out = SK.stream_throttle(replay(df, "id", 4), "k", "id", "at", 90_000_000, late=3600_000_000).collect()
+    assert len(out) == 120 and not any(r.forwarded for r in out if r.id % 2 and r.id >= 90)
+    assert sum(r.forwarded for r in out if not r.id % 2) == 60
 
 
 def test_streamed_ingest_equals_batch_and_reuses_vectors(spark):
