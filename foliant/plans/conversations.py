@@ -181,7 +181,8 @@ titled AS (SELECT n.query_id, c.course_id, c.chat_id, lower(c.title) = n.needle
       WHEN t.exact IS NOT NULL THEN 'partial-title' ELSE 'content' END AS match_type,
       CASE WHEN t.exact IS NOT NULL THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END AS score, snippet,
       left(snippet, strpos(lower(snippet), n.needle) - 1) AS before,
-      substr(snippet, strpos(lower(snippet), n.needle), len(n.query)) AS match
+      substr(snippet, strpos(lower(snippet), n.needle), len(n.query)) AS match,
+      substr(snippet, strpos(lower(snippet), n.needle) + len(n.query)) AS after
     FROM titled t FULL JOIN hits h USING (query_id, course_id, chat_id)
     JOIN chats c USING (course_id, chat_id) JOIN needles n USING (query_id)"""
 )
@@ -206,7 +207,7 @@ def chat_search(spark, sf):
     )
     found = M.search_chats(asked.unionByName(names).unionByName(blank), chats, messages)
     return found.select(
-        "query_id", "course_id", "chat_id", "title", "match_type", "score", "snippet", "before", "match"
+        "query_id", "course_id", "chat_id", "title", "match_type", "score", "snippet", "before", "match", "after"
     )
 
 
