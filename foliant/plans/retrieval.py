@@ -230,25 +230,27 @@ def retrieval_statistics(spark, sf):
 
 
 @query(
-    f"""WITH {I.CHUNKS}, {I.QUERIES},
-    pairs AS (SELECT query_id, top_k, mode, threshold, qvec, unnest(document_ids) AS doc_id,
+    f"""WITH RECURSIVE {I.CHUNKS}, {I.QUERIES},
+    named AS (SELECT query_id AS asked, top_k, mode, threshold, qvec, unnest(document_ids) AS doc_id,
                      generate_subscripts(document_ids, 1) - 1 AS doc_order FROM queries),
-    scored AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY score DESC, chunk_id) AS r
-      FROM (SELECT p.query_id, p.doc_id, p.doc_order, p.top_k, p.mode, p.threshold, c.chunk_id, c.text,
-                   round(list_cosine_similarity(p.qvec, c.embedding), 9) AS score
-            FROM pairs p JOIN chunks c ON c.doc_id = p.doc_id)
-      QUALIFY r <= least(greatest(2 * top_k, 12), 50)),
+    cand AS (
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank
+      FROM (SELECT n.asked || '/' || n.doc_id AS query_id, n.asked, n.doc_id, n.doc_order, n.top_k, n.mode,
+                   n.threshold, c.chunk_id, round(list_cosine_similarity(n.qvec, c.embedding), 9) AS score
+            FROM named n JOIN chunks c ON c.doc_id = n.doc_id)
+      QUALIFY rank <= least(greatest(2 * top_k, 12), 50)),
+    scored AS MATERIALIZED (SELECT * FROM cand WHERE score >= threshold), {GRAMS_SQL}, {KEPT_SQL},
     ranked AS (
-      SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY s DESC, chunk_id) AS r2
-      FROM (SELECT *, score * {BOOST_SQL} AS s FROM scored WHERE score >= threshold)
-      QUALIFY r2 <= top_k)
-    SELECT query_id, chunk_id, doc_id, round(s, 6) AS score,
-           row_number() OVER (PARTITION BY query_id ORDER BY s DESC, doc_order, chunk_id) AS rank
+      SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS place
+      FROM (SELECT k.* EXCLUDE (rank), score * {BOOST_SQL} AS s
+            FROM kept k JOIN (SELECT chunk_id, text FROM chunks) c USING (chunk_id))
+      QUALIFY place <= top_k)
+    SELECT asked AS query_id, chunk_id, doc_id, round(s, 6) AS score,
+           row_number() OVER (PARTITION BY asked ORDER BY s DESC, doc_order, chunk_id) AS rank
     FROM ranked QUALIFY rank <= top_k"""
 )
 def retrieve_by_document(spark, sf):
-    """One search per named document, merged per query (texts not compared)."""
+    """One search per named document without its near duplicates, merged per query."""
     found = R.retrieve_multi_doc(I.vector_queries(spark, sf), I.chunks(spark, sf))
     return _out(found, "doc_id")
 
