@@ -28,8 +28,8 @@ CHUNK = 8
 RANK_BLOCK = 512
 # ids after which a segment is closed at the end of its document
 SEGMENT = 1 << 19
-# distinct words after which a worker starts a new generation of remembered ones: two hold about 350 MB
-KNOWN = 3 << 18
+# distinct words after which a worker starts a new generation of remembered ones
+KNOWN = 1 << 18
 ID = np.dtype("<u4")
 # a character that stands between words that are encoded in one call, and words of a call
 MARK = "\x01"
