@@ -225,7 +225,14 @@ def one_of_each(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """
     mark = fingerprints(docs, [F.col("doc_id"), *row_key()], size)
     mark = mark.groupBy("doc_id", "_id", "_hash", "fp").agg(F.count(F.lit(1)).alias("n"))
-    mark = label(materialise(mark, "fingerprints"))
+    return best_rows(docs, label(materialise(mark, "fingerprints")))
+
+
+def best_rows(docs: DataFrame, mark: DataFrame) -> DataFrame:
+    """Of each ``root`` the row of ``docs`` with the smallest doc_id, then text hash; once if it repeats.
+
+    ``mark`` has a row per doc_id and text: doc_id, _id, _hash, n (how often it occurs), root.
+    """
     best = mark.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_hash", "_id", "n")).alias("k")
     )

@@ -141,3 +141,26 @@ def repeats(rows, length=200):
         spans = len(re.findall(rb"\x01+", bytes(gone)))
         out.append((d, len(raw), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
     return out
+
+
+def similar_groups(rows, size, percent):
+    """rows of (doc_id, text) -> (doc_id, smallest doc_id of the group by similarity of word runs)."""
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
+        sets.append({tuple(w[i : i + size]) for i in range(len(w) - size + 1)} or ({tuple(w)} if w else set()))
+    up = list(range(len(rows)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                up[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[root(i)] = min(least.get(root(i), d), d)
+    return [(d, least[root(i)]) for i, (d, _) in enumerate(rows)]

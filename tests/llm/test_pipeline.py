@@ -34,7 +34,7 @@ def test_pipeline(spark):
     docs = con.execute(f"SELECT doc_id, text FROM '{SF_DIR}/documents.parquet' ORDER BY 1").fetchall()
     items = con.execute(f"SELECT item_id, text FROM '{SF_DIR}/benchmark.parquet'").fetchall()
     docs = [r for r in docs if r[1] and regex.search(r"\p{L}", r[1])]
-    docs = [r for r, g in zip(docs, brute.near_duplicates(docs), strict=True) if g[0] == g[2]]
+    docs = [r for r, (d, c) in zip(docs, brute.similar_groups(docs, 5, 80), strict=True) if d == c]
     docs = [r for r, c in zip(docs, brute.contamination(docs, items), strict=True) if not c[5]]
     ranks = Ranks(P.path("byte_bpe_multi_50k.tiktoken")).whole
     lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
