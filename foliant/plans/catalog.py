@@ -123,7 +123,7 @@ def verified_documents(spark, sf):
 
 
 UPDATES = """updates AS (
-  SELECT event_id % 1500 AS id, event_id AS version, CASE WHEN event_type = 'error' THEN 'failed'
+  SELECT event_id // 7 AS id, event_id AS version, CASE WHEN event_type = 'error' THEN 'failed'
       WHEN event_type = 'view' THEN 'processing' END AS status,
     CASE WHEN event_type = 'error' THEN 'code ' || user_id END AS errorMessage,
     CASE WHEN event_type = 'click' THEN event_id END AS pageCount FROM events)"""
@@ -139,10 +139,10 @@ UPDATES = """updates AS (
     FROM catalog c FULL JOIN l ON l.id = c.id"""
 )
 def upserted_catalog(spark, sf):
-    """Insert or update by id, null fields keep their value."""
+    """Insert or update by id, null fields keep their value. Seven updates an id, so ids grow with the events."""
     t = F.col("event_type")
     updates = I.table(spark, sf, "events").select(
-        (F.col("event_id") % 1500).alias("id"),
+        F.expr("event_id div 7").alias("id"),
         F.col("event_id").alias("version"),
         F.when(t == "error", "failed").when(t == "view", "processing").alias("status"),
         F.when(t == "error", F.concat(F.lit("code "), "user_id")).alias("errorMessage"),
