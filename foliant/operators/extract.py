@@ -6,18 +6,15 @@ text value, so a group is bounded by what a single row can hold.
 
 from __future__ import annotations
 
-from html.parser import HTMLParser
+from html.entities import html5
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import lexicon as L
 from ..functions.ordered import lookup
-from ..functions.text import strip
-
-TITLE_TAGS = {"h1", "h2", "h3", "title"}
-HIDDEN_TAGS = {"script", "style", "template"}
+from ..functions.running import running_min, running_sum
+from ..functions.text import let, strip
 
 
 def joined(value: str, sep: str, order: str) -> Column:
@@ -26,63 +23,124 @@ def joined(value: str, sep: str, order: str) -> Column:
     return F.expr(f"listagg({value}, '{escaped}') within group (order by {order})")
 
 
-class _Page(HTMLParser):
-    """Collects visible text nodes and the text of the first title-like element."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.lines, self.node, self.hidden = [], [], []
-        self.title, self.title_tag = None, None
-
-    def _end_node(self):
-        text = "".join(self.node)
-        self.node = []
-        self.lines += [s for s in map(str.strip, text.split("\n")) if s]
-
-    def handle_starttag(self, tag, attrs):
-        self._end_node()
-        if tag in HIDDEN_TAGS:
-            self.hidden.append(tag)
-        elif tag in TITLE_TAGS and self.title is None:
-            self.title, self.title_tag = [], tag
-
-    def handle_startendtag(self, tag, attrs):
-        self._end_node()
-
-    def handle_endtag(self, tag):
-        self._end_node()
-        if self.hidden and tag == self.hidden[-1]:
-            self.hidden.pop()
-        if tag == self.title_tag:
-            self.title_tag = None
-
-    def handle_comment(self, data):
-        self._end_node()
-
-    def handle_data(self, data):
-        if not self.hidden:
-            self.node.append(data)
-            if self.title_tag:
-                self.title.append(data)
-
+# comments, declarations, scripts and styles with their text, end tags, start tags
+_ATTRIBUTES = r"""(?:[^'">]++|"[^"]*+"|'[^']*+')*+"""
+MARKUP = (
+    r"<!--(?s:.*?)(?:-->|\z)"
+    rf"|(?i:<(script|style)(?=[\s/>]){_ATTRIBUTES}(?<!/)>(?s:.*?)(?:</\1\s*+>|\z))"
+    rf"|<[!?][^>]*+>|</[^>]*+>|<[A-Za-z]{_ATTRIBUTES}>"
+)
+TITLE_TAG = r"(?i)^<(h1|h2|h3|title)(?=[\s/>])(?s:.*)(?<!/)>$"
+TEMPLATE_START, TEMPLATE_END = r"(?i)^<template(?=[\s/>])(?s:.*)(?<!/)>$", r"(?i)^</template(?=[\s/>])"
+REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*;?)"
+# names of character references, each between a start and an equals mark, as one text to look up in
+_START, _EQUALS = "\x02", "\x03"
+_NAMES = "".join(f"{_START}{k}{_EQUALS}{v}" for k, v in html5.items()) + _START
+# names that need no semicolon, longest first
+_BARE_NAMES = sorted((k for k in html5 if not k.endswith(";")), key=lambda k: (-len(k), k))
+# numbers of the control range stand for the characters of Windows-1252
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_C1_MEANT = "".join(bytes([i]).decode("cp1252", "replace").replace("\ufffd", chr(i)) for i in range(0x80, 0xA0))
+
+
+def _numbered(digits: Column, base: int) -> Column:
+    """The character of a number; nothing for numbers that name none."""
+    short = F.regexp_replace(digits, "^0+", "")
+    code = F.conv(F.when(F.length(short) <= 7, short).otherwise(F.lit("0")), base, 10).cast("int")
+
+    def character(c: Column) -> Column:
+        wide = F.concat(F.lit("0000FEFF"), F.lpad(F.hex(c), 8, "0"))
+        bad = (c <= 0) | c.between(0xD800, 0xDFFF) | (c > 0x10FFFF)
+        none = (
+            c.between(1, 8) | (c == 0xB) | c.between(0xE, 0x1F) | (c == 0x7F)
+            | c.between(0xFDD0, 0xFDEF) | (c.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE)
+        )
+        one = F.translate(F.decode(F.unhex(wide), "UTF-32"), _C1, _C1_MEANT)
+        return F.when(bad, "\ufffd").when(none, "").otherwise(one)
+
+    return let(F.coalesce(code, F.lit(0)), character)
+
+
+def _named(name: Column) -> Column:
+    """The characters of a name; of a name that begins with one that needs no semicolon, those and the rest."""
+
+    def value(key: Column) -> Column:
+        at = F.instr(F.lit(_NAMES), F.concat(F.lit(_START), key, F.lit(_EQUALS)))
+        two = F.substring(F.lit(_NAMES), at + F.length(key) + 2, F.lit(2))
+        return F.split_part(two, F.lit(_START), F.lit(1))
+
+    known = F.lit(_NAMES).contains(F.concat(F.lit(_START), name, F.lit(_EQUALS)))
+    begins = F.get(F.filter(F.array(*map(F.lit, _BARE_NAMES)), lambda k: F.startswith(name, k)), F.lit(0))
+    part = let(begins, lambda k: F.concat(value(k), F.substring(name, F.length(k) + 1, F.length(name))))
+    return F.when(known, value(name)).otherwise(F.coalesce(part, F.concat(F.lit("&"), name)))
+
+
+def unescape(text: Column) -> Column:
+    """Character references, named and numbered, as the characters they stand for."""
+
+    def meant(r: Column) -> Column:
+        digits = F.regexp_extract(r, "^&#[xX]?([0-9a-fA-F]+)", 1)
+        return (
+            F.when(r.rlike("^&#[xX]"), _numbered(digits, 16))
+            .when(r.startswith("&#"), _numbered(digits, 10))
+            .otherwise(_named(F.substring(r, 2, F.length(r))))
+        )
 
-def _read_page(html: str | None) -> tuple[str, str]:
-    page = _Page()
-    page.feed(html or "")
-    page.close()
-    page._end_node()
-    return "".join(page.title or []).strip(), "\n".join(page.lines)
+    found = F.transform(F.regexp_extract_all(text, F.lit(REFERENCE), F.lit(0)), meant)
+    parts = F.zip_with(F.split(text, REFERENCE, -1), found, lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    return F.when(text.contains("&"), F.array_join(parts, "")).otherwise(text)
 
 
 def html_to_text(pages: DataFrame, html: str = "html") -> DataFrame:
-    """Adds ``title``, ``text`` and ``char_count`` of an HTML column."""
+    """Adds ``title``, ``text`` and ``char_count`` of an HTML column.
+
+    Markup cuts a page into text nodes, whose lines are stripped and kept unless empty. Scripts,
+    styles, comments and declarations have no text, and what stands inside templates, however
+    deep, is hidden. The title is the text of the first h1, h2, h3 or title element up to its end
+    tag. A ``<`` that begins no complete tag is text; a null page is an empty one.
+    """
 
-    @F.pandas_udf("title string, text string")
-    def read(column: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_read_page(h) for h in column], columns=["title", "text"])
+    def shown(tags: Column, nodes: Column) -> Column:
+        """The nodes, empty where a template is open; an end tag without a start tag closes nothing."""
+        steps = F.transform(
+            F.concat(tags, F.array(F.lit(""))),
+            lambda t: F.when(t.rlike(TEMPLATE_START), 1).when(t.rlike(TEMPLATE_END), -1).otherwise(0),
+        )
+        depth = let(
+            running_sum(steps),
+            lambda d: F.zip_with(d, running_min(d), lambda x, least: x - F.least(x, least, F.lit(0))),
+        )
+        masked = F.zip_with(nodes, depth, lambda n, d: F.when(d == 0, n).otherwise(""))
+        return F.when(F.exists(tags, lambda t: t.rlike(TEMPLATE_START)), masked).otherwise(nodes)
+
+    def title(tags: Column, nodes: Column) -> Column:
+        def of(first: Column) -> Column:
+            end = F.concat(F.lit("(?i)^</"), F.regexp_extract(F.get(tags, first - 1), TITLE_TAG, 1), F.lit(r"(?=[\s/>])"))
+            after = F.slice(tags, first + 1, F.size(tags))
+            stop = let(end, lambda e: F.array_position(F.transform(after, lambda t: F.rlike(t, e)), True))
+            own = let(stop, lambda n: F.slice(nodes, first + 1, F.when(n > 0, n).otherwise(F.size(nodes)).cast("int")))
+            return F.when(first > 0, strip(F.array_join(F.transform(own, unescape), ""))).otherwise("")
+
+        where = F.array_position(F.transform(tags, lambda t: t.rlike(TITLE_TAG)), True).cast("int")
+        return let(where, of)
+
+    def body(nodes: Column) -> Column:
+        lines = F.transform(F.split(unescape(F.array_join(nodes, "\n")), "\n", -1), strip)
+        return F.array_join(F.filter(lines, lambda x: x != ""), "\n")
+
+    def read(page: Column) -> Column:
+        tags = F.regexp_extract_all(page, F.lit(MARKUP), F.lit(0))
+        nodes = F.split(page, MARKUP, -1)
+        return let(
+            tags,
+            lambda t: let(
+                shown(t, nodes), lambda n: F.struct(title(t, n).alias("title"), body(n).alias("text"))
+            ),
+        )
 
+    page = let(F.coalesce(F.col(html), F.lit("")), read)
     return (
-        pages.withColumn("_page", read(html))
+        pages.withColumn("_page", page)
         .select("*", "_page.title", "_page.text")
         .drop("_page")
         .withColumn("char_count", F.length("text"))

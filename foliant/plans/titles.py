@@ -21,7 +21,56 @@ def first_turns(spark, sf):
     )
 
 
-@query()
+# the same cleaning, spelled in RE2
+def _clean_sql(c: str) -> str:
+    for pattern, replacement in T.CLEANING:
+        p = pattern.replace("'", "''").replace("(?s)```.*?```", "(?s)```.*?```")
+        c = f"regexp_replace({c}, '{p}', '{replacement}', 'g')"
+    return I.strip_sql(c)
+
+
+STOP_SQL = "[" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "]"
+
+
+def _limit_sql(c: str) -> str:
+    w = f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
+    content = (
+        f"list_filter({w}, lambda x: NOT list_contains({STOP_SQL}, lower(regexp_replace(x, '[^\\w''-]', '', 'g'))))[:6]"
+    )
+    return f"""CASE WHEN len({w}) <= 6 THEN {c} ELSE array_to_string(list_concat({content},
+      list_filter(list_filter({w}, lambda x, i: list_position({w}, x) = i), lambda x: NOT list_contains({content}, x)))[:6], ' ') END"""
+
+
+def _short_sql(c: str) -> str:
+    return f"len(regexp_split_to_array({c}, '\\s+')) <= 6"
+
+
+def _title_case_sql(c: str) -> str:
+    up = "lambda x: replace(upper(left(x, 1)), 'ẞ', 'SS') || substr(x, 2)"
+    return I.strip_sql(f"array_to_string(list_transform(regexp_split_to_array({c}, '\\s+'), {up}), ' ')")
+
+
+FALLBACK = f"""WITH {FIRST},
+told AS (SELECT conv_id, {I.strip_sql("coalesce(message, '')")} AS text FROM first),
+lined AS (SELECT *, regexp_split_to_array(text, '\\r?\\n')[1] AS line FROM told),
+parts AS (SELECT *, len(line) <= 60 AND {_short_sql("line")} AS fits,
+  {I.strip_sql("coalesce(nullif(regexp_extract(text, '(?s)[^.?!]*[.?!]'), ''), line)")} AS sentence,
+  nullif({I.strip_sql("regexp_split_to_array(text, '[,;:\\-–—]')[1]")}, '') AS phrase,
+  list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM lined),
+content AS (SELECT *, list_filter(list_transform(w, lambda x: regexp_replace(x, '[^\\w''-]', '', 'g')),
+  lambda x: NOT list_contains({STOP_SQL}, lower(x))) AS kept FROM parts),
+based AS (SELECT conv_id, text, fits, CASE WHEN fits THEN line WHEN {_short_sql("sentence")} THEN sentence ELSE
+  coalesce(phrase, array_to_string((CASE WHEN len(kept) > 0 THEN kept ELSE w END)[:6], ' ')) END AS base FROM content),
+clean AS (SELECT conv_id, text, fits, {_clean_sql("base")} AS c FROM based),
+limited AS (SELECT conv_id, text, fits, CASE WHEN fits THEN c ELSE {_limit_sql("c")} END AS c FROM clean),
+headed AS (SELECT *, {I.strip_sql("regexp_replace(regexp_replace(" + I.strip_sql("left(c, 60)") + ", '(?s) [^ ]*$', ''), '[.,;:!?-]+$', '')")} AS head
+  FROM limited),
+cut AS (SELECT conv_id, text, fits, CASE WHEN fits OR len(c) <= 60 THEN c WHEN head <> '' THEN head || '...' END AS c FROM headed),
+cased AS (SELECT conv_id, text, fits, {_title_case_sql("c")} AS t FROM cut)
+SELECT conv_id, CASE WHEN text = '' THEN 'New Chat' WHEN fits THEN t ELSE coalesce(nullif(t, ''), 'New Chat') END AS title FROM cased"""
+
+
+@query(FALLBACK)
 def fallback_titles(spark, sf):
     """A title from the first message alone."""
     return first_turns(spark, sf).select("conv_id", T.fallback_title(F.col("message")).alias("title"))
@@ -48,26 +97,6 @@ def replies(spark, sf):
     return c.select("conv_id", "turn", "text", F.when(F.col("turn") % 2 == 0, lines).otherwise(F.concat(F.lit("> "), "text")).alias("reply"))
 
 
-# the same cleaning, spelled in RE2
-def _clean_sql(c: str) -> str:
-    for pattern, replacement in T.CLEANING:
-        p = pattern.replace("'", "''").replace("(?s)```.*?```", "(?s)```.*?```")
-        c = f"regexp_replace({c}, '{p}', '{replacement}', 'g')"
-    return I.strip_sql(c)
-
-
-STOP_SQL = "[" + ", ".join(f"'{w}'" for w in L.STOP_WORDS) + "]"
-
-
-def _limit_sql(c: str) -> str:
-    w = f"list_filter(regexp_split_to_array({c}, '\\s+'), lambda x: x <> '')"
-    content = (
-        f"list_filter({w}, lambda x: NOT list_contains({STOP_SQL}, lower(regexp_replace(x, '[^\\w''-]', '', 'g'))))[:6]"
-    )
-    return f"""CASE WHEN len({w}) <= 6 THEN {c} ELSE array_to_string(list_concat({content},
-      list_filter(list_filter({w}, lambda x, i: list_position({w}, x) = i), lambda x: NOT list_contains({content}, x)))[:6], ' ') END"""
-
-
 CANDIDATES = f"""replies AS (
   SELECT conv_id, turn, text, CASE WHEN turn % 2 = 0 THEN array_to_string(list_transform(string_split(text, '. '),
       lambda x, i: i || '. Title: **' || x || '**'), chr(10)) ELSE '> ' || text END AS reply FROM conversations),

@@ -113,6 +113,52 @@ def test_html(spark):
     assert row.title == "T & U" and row.text == "T & U\nH\na\nb\n< c\nd" and row.char_count == len(row.text)
 
 
+def test_html_markup(spark):
+    pages = {
+        "<!DOCTYPE html>a<!-- b > c -->d<?x y?>e": ("", "a\nd\ne"),
+        "<SCRIPT type='x>y'>if (a<b) {}</SCRIPT >t<script/>u<style>open": ("", "t\nu"),
+        "<template>x<b>y</b><template>z</template>w</template>v</template>u": ("", "v\nu"),
+        "<h2 class='a > b'>One <i>two</i></h2><title>no</title>": ("One two", "One\ntwo\nno"),
+        "<template><h1>hid</h1></template><h3>later</h3>": ("", "later"),
+        "<header>x</header><h3>never closed <b>&lt;": ("never closed <", "x\nnever closed\n<"),
+        "1 < 2 && 3 <p": ("", "1 < 2 && 3 <p"),
+        "<p>a &amp; b &lt;i&gt; &eacute; &notit; &unknown; &#65;&#x1F642;&#128;&#0;&#10;z": (
+            "", "a & b <i> é ¬it; &unknown; A🙂€\ufffd\nz"),
+        None: ("", ""),
+        "": ("", ""),
+        "<p>" * 3000 + "deep" + "<template>" * 700 + "x" + "</template>" * 700 + "end": ("", "deep\nend"),
+        "<p title='" + "long " * 40000 + "'>after": ("", "after"),
+    }
+    rows = E.html_to_text(spark.createDataFrame([(p,) for p in pages], "html string")).collect()
+    assert {r.html: (r.title, r.text) for r in rows} == pages
+    assert "Python" not in E.html_to_text(spark.createDataFrame([("",)], "html string"))._jdf.queryExecution().toString()
+
+
+def test_character_references(spark):
+    from html import unescape
+
+    names = ["amp;", "amp", "AMP", "ampx", "nbsp;", "hellip;", "NotEqualTilde;", "CounterClockwiseContourIntegral;", "copy1", "x", "lt;gt;"]
+    numbers = ["#1;", "#9", "#11;", "#32;", "#127;", "#129;", "#150;", "#x80", "#xD800;", "#x10FFFF;", "#x110000;", "#xFDD0;", "#xFFFE;",
+               "#99999999999999999999;", "#000065;", "#xfeff;", "#;", "#x;", "#X41g"]
+    texts = [f"a&{n} b" for n in names + numbers] + ["none", "&", "&&amp;&", "&lt;&amp;lt;"]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", E.unescape(F.col("t")).alias("u")).collect()
+    assert [(r.t, r.u) for r in got] == [(t, unescape(t)) for t in texts]
+
+
+def test_running_values(spark):
+    import itertools
+
+    from foliant.functions import running as R
+
+    arrays = [[(i * 7919) % 1000 for i in range(n)] for n in (0, 1, 255, 256, 257, 3000)]
+    df = spark.createDataFrame([(a,) for a in arrays], "a array<int>")
+    got = df.select("a", R.running_sum(F.col("a")), R.running_max(F.col("a")), R.running_min(F.col("a"))).collect()
+    for a, total, most, least in got:
+        assert total == list(itertools.accumulate(a, initial=0))[: len(a)]
+        assert most == list(itertools.accumulate(a, max, initial=0))[: len(a)]
+        assert least == list(itertools.accumulate(a, min, initial=2**31 - 1))[: len(a)]
+
+
 def test_table_drops_empty_rows_and_pads(spark):
     cells = [(0, 0, "h"), (0, 1, None), (1, 0, ""), (2, 0, "long"), (2, 1, "b"), (2, 2, "c")]
     df = spark.createDataFrame([("t", *c) for c in cells], "t string, row int, col int, cell string")
