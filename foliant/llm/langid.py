@@ -197,12 +197,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.langs, model.scores))
 
     @F.pandas_udf("lang_pred string, score double")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for texts in batches:
-            names, scores = predict(shared.value, texts.tolist())
+            names, scores = predict(Model(*shared.value), texts.tolist())
             yield pd.DataFrame({"lang_pred": names, "score": scores})
 
     rows = docs.select("doc_id", held_out().alias("held_out"), language("text").alias("l"))
@@ -219,11 +219,11 @@ def with_language(docs: DataFrame, model: Model) -> DataFrame:
         return docs.where(F.coalesce(F.col("text"), F.lit("")).rlike(r"\p{L}"))
     spark = docs.sparkSession
     bounded_batches(spark)
-    shared = spark.sparkContext.broadcast(model)
+    shared = spark.sparkContext.broadcast((model.langs, model.scores))
 
     @F.pandas_udf("string")
     def language(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
-            yield pd.Series(predict(shared.value, texts.tolist())[0])
+            yield pd.Series(predict(Model(*shared.value), texts.tolist())[0])
 
     return docs.where(language("text") != UNKNOWN)

@@ -14,11 +14,12 @@ yields a few rows per candidate, never pairs of parts.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.running import running_max, running_sum
 from ..session import materialise
-from .common import keyed, row_key, unused, whole
+from .common import bind, keyed, row_key, unused, whole
 
 # fixed values: the base patterns and the least lengths of what they must find
 ASSIGN = (
@@ -42,6 +43,8 @@ BARE = (
 )
 SCOPE = 200
 KINDS = ["assign", "access", "hex", "ident", "named", "bare", "endpoint"]
+# code points of a text that are cut together
+BLOCK = 1 << 13
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
@@ -61,19 +64,19 @@ def spans_of(text: Column, pattern: str, kind: int, value: tuple[int, int] | Non
             F.length(g["gap"]).alias("gap"), F.length(m).alias("size"), F.length(g["value"]).alias("value")
         ),
     )
-    none = F.array().cast(SPAN)
 
-    def step(acc: Column, s: Column) -> Column:
-        start = acc["at"] + s["gap"]
-        end = start + s["size"]
-        span = F.array(F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end")))
-        kept = F.when(s["value"] >= (value[1] if value else 0), span.cast(SPAN)).otherwise(none)
-        return F.struct(end.alias("at"), F.concat(acc["out"], kept).alias("out"))
+    def placed(s: Column, at: Column) -> Column:
+        start = at + s["gap"]
+        span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + s["size"]).alias("end"))
+        return F.struct(span.alias("span"), s["value"].alias("value"))
 
-    found = F.aggregate(
-        steps, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"]
-    )
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    def spans(of: Column) -> Column:
+        before = running_sum(F.transform(of, lambda s: s["gap"] + s["size"]))
+        long = F.filter(F.zip_with(of, before, placed), lambda f: f["value"] >= (value[1] if value else 0))
+        return F.transform(long, lambda f: f["span"]).cast(SPAN)
+
+    found = bind(steps, spans)
+    return F.when(text.rlike(pattern), found).otherwise(F.array().cast(SPAN))
 
 
 def base_spans(text: Column) -> Column:
@@ -83,14 +86,22 @@ def base_spans(text: Column) -> Column:
     )
 
 
-def weak_parts(text: Column, base: Column) -> Column:
-    """Identifiers, weak candidates that overlap no base span, and endpoints."""
+def weak_parts(text: Column) -> Column:
+    """Identifiers, weak candidates and endpoints."""
+    return F.concat(*[spans_of(text, p, k) for p, k in ((IDENT, 3), (NAMED, 4), (BARE, 5), (ENDPOINT, 6))])
 
-    def apart(s: Column) -> Column:
-        return ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
 
-    weak = F.concat(spans_of(text, NAMED, 4), spans_of(text, BARE, 5))
-    return F.concat(spans_of(text, IDENT, 3), F.filter(weak, apart), spans_of(text, ENDPOINT, 6))
+def apart(parts: DataFrame) -> DataFrame:
+    """``parts`` (_id, _hash, start, kind, stop) without the weak candidates that overlap a base span."""
+    row, base = Window.partitionBy("_id", "_hash"), F.col("kind") < 3
+    up_to = row.orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # from the far end on: a frame that ends with the last row would be read again for every row
+    since = row.orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    reach = F.max(F.when(base, F.col("stop"))).over(up_to)
+    after = F.min(F.when(base, F.col("start"))).over(since)
+    meets = (F.coalesce(reach, F.lit(0)) > F.col("start")) | F.coalesce(after < F.col("stop"), F.lit(False))
+    met = F.col("kind").isin(4, 5) & meets
+    return parts.withColumn("_met", met).where("not _met").drop("_met")
 
 
 def near(points: DataFrame, others: DataFrame, scope: int) -> DataFrame:
@@ -110,12 +121,12 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     """Every row of ``docs`` as (_id, _hash, doc_id, base, added), the last two arrays of spans."""
     text = whole(F.col("text"))
     base = docs.select("doc_id", *row_key(), base_spans(text).alias("base"), text.alias("text"))
-    base = materialise(base.withColumn("parts", weak_parts(F.col("text"), F.col("base"))).drop("text"), "spans")
+    base = materialise(base.withColumn("parts", weak_parts(F.col("text"))).drop("text"), "spans")
     # an access span is an identifier too; a row without a weak candidate links nothing
-    every = F.concat("parts", F.filter("base", lambda s: s["kind"] == 1))
+    every = F.concat("parts", "base")
     parts = base.where(F.exists("parts", lambda s: s["kind"].isin(4, 5)))
     parts = parts.select("_id", "_hash", F.inline(every)).distinct().withColumnRenamed("end", "stop")
-    parts = materialise(parts, "parts")
+    parts = materialise(apart(parts), "parts")
     with_ident = near(parts.where("kind in (4, 5)"), parts.where("kind in (1, 3)"), scope)
     with_endpoint = near(parts.where("kind = 4"), parts.where("kind = 6"), scope)
     linked = materialise(with_ident.union(with_endpoint).distinct(), "linked")
@@ -158,6 +169,36 @@ def find_secrets(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
     )
 
 
+def without(text: Column, cuts: Column, mark: str) -> Column:
+    """The text with ``mark`` for each run of overlapping spans; ``cuts`` are sorted by start.
+
+    The text is cut into blocks once, so that a piece is found in steps of its block alone.
+    """
+    size = F.floor(F.greatest(F.length(text) - 1, F.lit(0)) / BLOCK).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), size), lambda b: F.substring(text, b * BLOCK + 1, F.lit(BLOCK)))
+
+    def piece(of: Column, start: Column, end: Column) -> Column:
+        first, last = F.floor(start / BLOCK).cast("int"), F.floor(end / BLOCK).cast("int")
+        skip, rest = start - first * BLOCK, end - last * BLOCK
+        inner = F.array_join(F.slice(of, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        head = F.substring(F.get(of, first), skip + 1, F.lit(BLOCK))
+        tail = F.substring(F.coalesce(F.get(of, last), F.lit("")), F.lit(1), rest)
+        short = F.substring(F.coalesce(F.get(of, first), F.lit("")), skip + 1, end - start)
+        return F.when(first == last, short).otherwise(F.concat(head, inner, tail))
+
+    # where all spans before one, and all spans, have ended
+    ended = running_max(F.transform(cuts, lambda s: s["end"]))
+    pairs = F.zip_with(cuts, ended, lambda s, at: F.struct(at.alias("at"), s["start"].alias("start")))
+    fresh = F.filter(pairs, lambda p: p["start"] >= p["at"])
+    stop = F.array_max(F.transform(cuts, lambda s: s["end"]))
+
+    def rebuilt(of: Column) -> Column:
+        kept = F.transform(fresh, lambda p: F.concat(piece(of, p["at"], p["start"]), F.lit(mark)))
+        return F.concat(F.array_join(kept, ""), piece(of, stop, F.length(text)))
+
+    return bind(blocks, rebuilt)
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataFrame:
     """``docs`` with every secret span (not the linked identifiers and endpoints) replaced by ``mark``.
 
@@ -174,21 +215,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]", scope: int = SCOPE) -> DataF
     rows, key, own_id, own_hash = keyed(docs)
     rows = rows.join(found, (own_id == found[f"{cuts}_id"]) & (own_hash == found[f"{cuts}_hash"]), "left")
 
-    def cut(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        gap = F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"])
-        out = F.when(fresh, F.concat(acc["out"], F.array(gap, F.lit(mark)))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
-
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    shorter = F.aggregate(
-        cuts,
-        start,
-        cut,
-        lambda acc: F.concat(
-            F.array_join(acc["out"], ""), F.substring(F.col("text"), acc["at"] + 1, F.length("text"))
-        ),
-    )
+    shorter = without(F.col("text"), F.col(cuts), mark)
     has = F.col(cuts).isNotNull()
     rows = rows.withColumn("text", F.when(has, shorter).otherwise(F.col("text")))
     if "n_chars" in docs.columns:

@@ -1,7 +1,8 @@
 """URL rules through Bloom filter cascades.
 
-The keys of a url are all pairs of a host suffix (at label borders) and a path prefix (at
-slashes). A cascade holds a set of listed keys exactly for a known universe: level one is a Bloom
+The keys of a url are pairs of a host suffix (at label borders) and a path prefix (at slashes),
+as 128-bit hashes that run along the url, so a key costs the same wherever it ends. A cascade of
+the rules' hosts leaves the suffixes that some rule has; those are paired with the prefixes. A cascade holds a set of listed keys exactly for a known universe: level one is a Bloom
 filter of the listed keys, level two one of the other keys of the universe that pass level one,
 level three one of the listed keys that pass level two, and so on until nothing passes. A key is
 listed if the first level that does not contain it is even. The universe is every key of the
@@ -14,11 +15,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialise
-from .common import lower_ascii
+from .common import bounded_batches, lower_ascii, text_blocks
 
 BITS_PER_KEY = 12
 PROBES = 6
@@ -37,20 +39,53 @@ def split_url(url: Column) -> tuple[Column, Column]:
     return host, path
 
 
-def url_keys(host: Column, path: Column) -> Column:
-    """All keys of a url: host suffixes joined with path prefixes that end in a slash."""
-    labels, parts = F.split(host, r"\.", -1), F.split(path, "/", -1)
-    suffixes = F.transform(
-        F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), ".")
-    )
-    prefixes = F.when(
-        F.size(parts) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(parts) - 1),
-            lambda i: F.concat(F.array_join(F.slice(parts, 1, i), "/"), F.lit("/")),
-        ),
-    ).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(suffixes, lambda s: F.transform(prefixes, lambda p: F.concat(s, p))))
+def host_states(host: str) -> Iterator[tuple[xxhash.xxh3_128, int]]:
+    """Running hash of the host's labels from the last one on, with where the suffix starts.
+
+    The state goes on changing; copy it to keep it.
+    """
+    state, at = xxhash.xxh3_128(), len(host) + 1
+    for label in reversed(host.split(".")):
+        at -= len(label) + 1
+        state.update(label.encode() + b".")
+        yield state, at
+
+
+def path_digests(state: xxhash.xxh3_128, path: str) -> Iterator[tuple[bytes, int]]:
+    """Keys of a host suffix with every path prefix that ends in a slash, with where it ends."""
+    state, at = state.copy(), 0
+    while end := path.find("/", at) + 1:
+        state.update(path[at:end].encode())
+        at = end
+        yield state.digest(), end
+
+
+def table_of(keys: list[bytes]) -> pd.DataFrame:
+    """Keys and their 64-bit hashes, the keys' first halves."""
+    h = np.frombuffer(b"".join(keys), dtype=">i8").reshape(-1, 2)[:, 0].astype(np.int64)
+    return pd.DataFrame({"key": pd.Series(keys, dtype=object), "h": h})
+
+
+class UrlKeys:
+    """The keys of urls whose host suffix is a listed one, found in blocks of bounded size."""
+
+    def __init__(self, hosts: Cascade):
+        self.hosts = hosts
+
+    def blocks(self, hosts: list[str], paths: list[str]) -> Iterator[tuple[int, int, list[tuple[int, int, int]], list[bytes]]]:
+        """Per block: its first url, the number of its urls, (url, start in host, end in path) and key of each."""
+        for first, block in text_blocks([h + p for h, p in zip(hosts, paths, strict=True)]):
+            urls = range(first, first + len(block))
+            digests = [s.digest() for u in urls for s, _ in host_states(hosts[u])]
+            known = iter(self.hosts.contains(table_of(digests)["h"].to_numpy()).tolist())
+            places, keys = [], []
+            for u in urls:
+                for state, start in host_states(hosts[u]):
+                    if next(known):
+                        for key, end in path_digests(state, paths[u]):
+                            places.append((u, start, end))
+                            keys.append(key)
+            yield first, len(block), places, keys
 
 
 def probes(h: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -63,14 +98,15 @@ def probes(h: np.ndarray, level: int, bits: int) -> np.ndarray:
 
 
 class Cascade:
-    """The levels, each a bit array."""
+    """The levels, each the words of a bit array."""
 
     def __init__(self, levels: list[np.ndarray]):
         self.levels = levels
 
     def passes(self, h: np.ndarray, level: int) -> np.ndarray:
-        bits = self.levels[level]
-        return bits[probes(h, level, len(bits))].all(1)
+        words = self.levels[level]
+        at = probes(h, level, 64 * len(words))
+        return (words[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).all(1)
 
     def contains(self, h: np.ndarray) -> np.ndarray:
         """Whether keys of the universe are listed."""
@@ -84,26 +120,31 @@ class Cascade:
 
 
 def _fill(keys: DataFrame, level: int, count: int) -> np.ndarray:
-    """The level's bits: positions are set in the tasks and meet as distinct positions."""
-    bits = max(64, BITS_PER_KEY * count)
-    if bits > 8 * LARGEST:
+    """The level's bits: tasks set theirs in words, and words of the same place are joined."""
+    words = -(-max(64, BITS_PER_KEY * count) // 64)
+    if 8 * words > LARGEST:
         raise ValueError(f"{count} keys are too many for a cascade of {LARGEST} bytes")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield pd.DataFrame({"bit": np.unique(probes(b["h"].to_numpy(), level, bits))})
-
-    out = np.zeros(bits, dtype=bool)
-    out[keys.select("h").mapInPandas(run, "bit long").distinct().toPandas()["bit"].to_numpy(np.int64)] = True
+            at = np.unique(probes(b["h"].to_numpy(), level, 64 * words))
+            if len(at):
+                word, first = np.unique(at >> 6, return_index=True)
+                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+                yield pd.DataFrame({"word": word, "bits": bits.view(np.int64)})
+
+    found = keys.select("h").mapInPandas(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    found, out = found.toPandas(), np.zeros(words, dtype=np.uint64)
+    out[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64).view(np.uint64)
     return out
 
 
 def _passing(keys: DataFrame, cascade: Cascade, level: int) -> DataFrame:
-    shared = keys.sparkSession.sparkContext.broadcast(Cascade(cascade.levels))
+    shared = keys.sparkSession.sparkContext.broadcast(cascade.levels)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            yield b[shared.value.passes(b["h"].to_numpy(), level)]
+            yield b[Cascade(shared.value).passes(b["h"].to_numpy(), level)]
 
     return keys.mapInPandas(run, keys.schema)
 
@@ -144,34 +185,66 @@ def judge(pages: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.where("host is not null and path is not null and verdict in ('allow', 'block')")
     if rules.where("path not like '%/'").limit(1).count():
         raise ValueError("a rule's path must end in a slash")
-    key = F.concat(lower_ascii(F.col("host")), "path")
-    listed = rules.groupBy(key.alias("key")).agg(F.max(F.col("verdict") == "block").alias("block"))
-    listed = materialise(listed.select("key", F.xxhash64("key").alias("h"), "block"), "rules")
+    bounded_batches(spark)
+
+    def rule_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            of_host, keys = [], []
+            for host, path in zip(b["host"], b["path"], strict=True):
+                state = [s.copy() for s, start in host_states(host) if start == 0][0]
+                of_host.append(state.digest())
+                state.update(path.encode())
+                keys.append(state.digest())
+            hosts = table_of(of_host).rename(columns={"key": "host_key", "h": "host_h"})
+            yield pd.concat([table_of(keys), hosts, b[["block"]].reset_index(drop=True)], axis=1)
+
+    plain = rules.select(lower_ascii(F.col("host")).alias("host"), "path", (F.col("verdict") == "block").alias("block"))
+    each = plain.mapInPandas(rule_keys, "key binary, h long, host_key binary, host_h long, block boolean")
+    each = materialise(each, "rule-keys")
+    listed = materialise(each.groupBy("key", "h").agg(F.max("block").alias("block")), "rules")
+    listed_hosts = materialise(each.select(F.col("host_key").alias("key"), F.col("host_h").alias("h")).distinct(), "hosts")
     host, path = split_url(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
-    split = split.withColumn("keys", url_keys(F.col("host"), F.col("path")))
-    universe = split.select(F.explode("keys").alias("key")).distinct()
-    universe = materialise(universe.select("key", F.xxhash64("key").alias("h")), "universe")
-    any_rule = build(listed.select("key", "h"), universe)
-    blocking = build(listed.where("block").select("key", "h"), listed.select("key", "h"))
+
+    def host_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for _, block in text_blocks(b["host"].tolist()):
+                yield table_of(list({s.digest() for h in block for s, _ in host_states(h)}))
+
+    universe = split.select("host").mapInPandas(host_keys, "key binary, h long").distinct()
+    known_hosts = spark.sparkContext.broadcast(build(listed_hosts, materialise(universe, "host-keys")).levels)
+
+    def url_keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = UrlKeys(Cascade(known_hosts.value))
+        for b in batches:
+            for _, _, _, keys in own.blocks(b["host"].tolist(), b["path"].tolist()):
+                yield table_of(list(set(keys)))
+
+    universe = split.select("host", "path").mapInPandas(url_keys, "key binary, h long").distinct()
+    any_rule = build(listed.select("key", "h"), materialise(universe, "universe")).levels
+    blocking = build(listed.where("block").select("key", "h"), listed.select("key", "h")).levels
     shared = spark.sparkContext.broadcast((any_rule, blocking))
 
     @F.pandas_udf("rule string, verdict string")
     def verdict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        in_any, in_block = shared.value
-        for keys, hashes in batches:
-            flat = np.concatenate([*hashes.tolist(), np.zeros(0, dtype=np.int64)]).astype(np.int64)
-            hit, block = in_any.contains(flat), in_block.contains(flat)
-            found, verdicts, at = [], [], 0
-            for own in keys:
-                fits = [i for i in range(len(own)) if hit[at + i]]
-                # keys come with the longest host first, which decides between equal lengths
-                best = max(fits, key=lambda i: (len(own[i]), -i), default=None)
-                found.append(None if best is None else own[best])
-                verdicts.append("block" if best is not None and block[at + best] else "allow")
-                at += len(own)
+        own = UrlKeys(Cascade(known_hosts.value))
+        in_any, in_block = map(Cascade, shared.value)
+        for hosts, paths in batches:
+            hosts, paths = hosts.tolist(), paths.tolist()
+            found, verdicts = [None] * len(hosts), ["allow"] * len(hosts)
+            for _, _, places, keys in own.blocks(hosts, paths):
+                hashes = table_of(keys)["h"].to_numpy()
+                hit, block = in_any.contains(hashes), in_block.contains(hashes)
+                best: dict[int, tuple[int, int, int, bool]] = {}
+                for i in np.nonzero(hit)[0].tolist():
+                    u, start, end = places[i]
+                    size = len(hosts[u]) - start
+                    # between equal lengths the longer host decides
+                    best[u] = max(best.get(u, (0, 0, 0, False)), (size + end, size, end, bool(block[i])))
+                for u, (_, size, end, blocks) in best.items():
+                    found[u] = hosts[u][len(hosts[u]) - size :] + paths[u][:end]
+                    verdicts[u] = "block" if blocks else "allow"
             yield pd.DataFrame({"rule": found, "verdict": verdicts}, dtype=object)
 
-    rows = split.withColumn("hashes", F.transform("keys", lambda k: F.xxhash64(k)))
-    rows = rows.select("page_id", "host", "path", verdict("keys", "hashes").alias("v"))
+    rows = split.select("page_id", "host", "path", verdict("host", "path").alias("v"))
     return rows.select("page_id", "host", "path", "v.*")
