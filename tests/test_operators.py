@@ -385,6 +385,19 @@ def test_events_older_than_the_state_still_come_out(spark):
     assert sum(r.forwarded for r in out if not r.id % 2) == 60
 
 
+def test_streamed_events_without_time_or_key_and_over_many_blocks(spark):
+    # 300 gaps are several time blocks; a missing key is a key, an event without a time is not kept
+    rows = [(k, i, 90 * i + i % 2, i * 7 % 10) for i in range(300) for k in (None, "a")] + [("a", 900, None, 3), ("b", 901, None, 4)]
+    df = spark.createDataFrame(rows, "k string, id long, s long, arrival long").withColumn("at", F.timestamp_seconds("s"))
+    out = SK.stream_throttle(replay(df, "arrival", 3).drop("arrival"), "k", "id", "at", 90_000_000).collect()
+    got = {(r.k, r.id): r.forwarded for r in out}
+    last, want = None, {}
+    for i in range(300):
+        want[i] = last is None or 90 * i + i % 2 >= last + 90
+        last = 90 * i + i % 2 if want[i] else last
+    assert got == {(k, i): v for i, v in want.items() for k in (None, "a")} | {("a", 900): False, ("b", 901): False}
+
+
 def test_streamed_ingest_equals_batch_and_reuses_vectors(spark):
     docs = [(f"d{i}", f"d{i}.txt", ".txt", f"Text number {i % 3}. More of it.", i) for i in range(6)] + [("e", "e.exe", ".exe", "x", 1)]
     df = spark.createDataFrame(docs, "doc_id string, name string, ext string, text string, n long").select(
