@@ -8,15 +8,20 @@ arrays of token counts, so no text travels to Python for it.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import text as X
 
 CHUNK_SIZE, OVERLAP = 320, 50
 LIST_SLACK = 1.5
+SPLIT_CHARS = 1 << 20  # pieces that a worker holds before it hands them on
 
 # line starts and whole blocks; possessive loops keep long blocks off the regex stack
 _TABLE = rf"[{X.WS_SET}&&[^\n]]*+\|"
@@ -233,11 +238,26 @@ def recursive_char_split(docs: DataFrame, size: int = 500, overlap: int = 50) ->
     if not 0 <= overlap < size:
         raise ValueError("need 0 <= overlap < size")
 
-    @F.pandas_udf("array<string>")
-    def split(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: split_recursively(t or "", size, overlap))
-
-    return docs.select("doc_id", F.posexplode(split("text")).alias("piece", "text"))
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("piece", T.IntegerType(), False), T.StructField("text", T.StringType())])
+    out = to_arrow_schema(schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts = batch.column(0), batch.column(1)
+            rows, numbers, pieces, held = [], [], [], 0
+            for i in range(len(texts)):
+                found = split_recursively(texts[i].as_py() or "", size, overlap)
+                rows += [i] * len(found)
+                numbers += range(len(found))
+                pieces += found
+                held += sum(map(len, found))
+                # the pieces of few documents at once, whatever the batch holds
+                if held >= SPLIT_CHARS or (i + 1 == len(texts) and rows):
+                    own = ids.take(pa.array(rows)).cast(out.field(0).type)
+                    yield pa.RecordBatch.from_arrays([own, pa.array(numbers, pa.int32()), pa.array(pieces, out.field(2).type)], schema=out)
+                    rows, numbers, pieces, held = [], [], [], 0
+
+    return docs.select("doc_id", "text").mapInArrow(split, schema)
 
 
 SCOPE_FIELDS = ["documentTitle", "courseId", "chatId", "docType"]

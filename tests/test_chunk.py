@@ -143,3 +143,16 @@ def test_character_pieces_by_hand():
     assert C.split_recursively("aaa bbb ccc", 8, 4) == ["aaa bbb", "bbb ccc"]
     assert C.split_recursively("one\n\ntwo", 20, 0) == ["one\n\ntwo"]
     assert C.split_recursively("abcdefghij", 4, 1) == ["abcd", "defg", "ghij"]
+
+
+def test_pieces_leave_a_worker_before_its_batch_ends(spark, monkeypatch):
+    monkeypatch.setattr(C, "SPLIT_CHARS", 1000)
+    texts = [(i, "word " * (i * 40)) for i in range(30)] + [(98, None), (99, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    found = C.recursive_char_split(docs, 200, 20)
+    assert "ArrowEvalPython" not in found._jdf.queryExecution().executedPlan().toString()  # that holds a batch's pieces
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, {})[r.piece] = r.text
+    want = {i: dict(enumerate(C.split_recursively(t, 200, 20))) for i, t in texts if t}
+    assert got == want
