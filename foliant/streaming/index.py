@@ -58,12 +58,14 @@ def stream_ingest(files: DataFrame, model: Model | None = None) -> tuple[DataFra
 
     def step(batch: DataFrame, batch_id: int) -> None:
         checked = text_docs(validate_files(batch))
+        # read by the chunks, the stored rows and the report: files are validated once
         docs = checked.select(
             "doc_id", "text",
             F.nullif(F.array_join("errors", "; "), F.lit("")).alias("error"),
             F.lit(None).cast("string").alias("extraction_method"),
             F.lit(False).alias("has_formatting"), F.lit(False).alias("has_tables"),
         )
+        docs = materialise(docs, "batch-docs")
         readable = docs.where((F.col("error").isNull()) & (strip(F.col("text")) != ""))
         chunks = materialise(chunk_documents(readable.select("doc_id", "text")), "batch-chunks")
         stored = earlier_vectors(batch_id)
