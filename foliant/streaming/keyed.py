@@ -130,8 +130,10 @@ def partial_answer_stream(
             state.remove()
             return
         seqs, parts, cleared = state.get if state.exists else ([], [], None)
-        new = pd.concat([f[["seq", "token", "_ms"]] for f in frames])
-        rows = [*zip(seqs, parts, strict=True), *zip(new["seq"].tolist(), new["token"].tolist(), strict=True)]
+        rows, seen = list(zip(seqs, parts, strict=True)), 0
+        for f in frames:
+            rows += zip(f["seq"].tolist(), f["token"].tolist(), strict=True)
+            seen = max(seen, int(f["_ms"].max()))
         ends = [s for s, t in rows if not t] + ([] if cleared is None else [cleared])
         cleared = max(ends, default=None)
         rows = sorted((r for r in rows if r[1] and (cleared is None or r[0] > cleared)), key=lambda r: r[0])
@@ -139,7 +141,7 @@ def partial_answer_stream(
             ahead = np.cumsum([0, *[len(t) for _, t in rows]])
             rows = rows[: int(np.searchsorted(ahead[:-1], limit, side="right"))]
         state.update(([s for s, _ in rows], [t for _, t in rows], cleared))
-        state.setTimeoutTimestamp(max(int(new["_ms"].max()), state.getCurrentWatermarkMs()) + 1)
+        state.setTimeoutTimestamp(max(seen, state.getCurrentWatermarkMs()) + 1)
         yield pd.DataFrame({key: [k[0]], "answer": ["".join(t for _, t in rows)]})
 
     return (
