@@ -222,17 +222,17 @@ def _strings(found: DataFrame, length: int) -> DataFrame:
             return pd.DataFrame(rows, columns=["name", "a", "b", "s", "n"])
 
         for b in batches:
-            for text, runs in zip(b["text"], b["runs"], strict=True):
+            for text, runs, copies in zip(b["text"], b["runs"], b["copies"].tolist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
                 for r in runs:
                     key = (r["name"], raw[r["first"] : r["last"] + length])
-                    held[key] = held.get(key, 0) + 1
+                    held[key] = held.get(key, 0) + copies
                 if len(held) >= HELD:
                     yield flush()
         if held:
             yield flush()
 
-    return found.select("text", "runs").mapInPandas(run, "name long, a long, b long, s binary, n long")
+    return found.select("text", "runs", "copies").mapInPandas(run, "name long, a long, b long, s binary, n long")
 
 
 def _occurrences(found: DataFrame, length: int) -> DataFrame:
@@ -312,8 +312,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     frequent = again.where(F.col("n") > LARGEST_GROUP).limit(1).count() > 0
     runs = lookup(runs.drop("n"), again.select("name"), ["name"], "inner")
     runs = runs.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("name", "first", "last")).alias("runs"))
-    copies = rows.select("text", *_row()).join(runs, ["_doc", "_hash"])
-    found = materialise(copies, "repeats")
+    # rows alike are one from here on; the join is dealt as they are grouped, so texts travel once
+    texts = rows.where(F.octet_length("text") >= length).select("text", *_row()).groupBy("_doc", "_hash")
+    texts = texts.agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("copies"))
+    found = materialise(texts.join(runs, ["_doc", "_hash"]), "repeats")
     strings = _strings(found, length)
     if frequent:  # distinct strings are counted only where a name has that many runs
         groups = strings.select("name", "a", "b").distinct().groupBy("name").agg(F.count(F.lit(1)).alias("n"))
@@ -324,7 +326,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     else:
         starts = _sorted_groups(strings, length)
     starts = materialise(starts, "starts")
-    where = _occurrences(found.dropDuplicates(["_doc", "_hash"]), length)
+    where = _occurrences(found, length)
     cuts = lookup(where, starts.groupBy("a", "b").agg(F.collect_set(F.struct("low", "high")).alias("s")), ["a", "b"], "inner")
     cuts = cuts.select("_doc", "_hash", "first", F.inline("s"))
     cut = F.struct((F.col("first") + F.col("low")).alias("start"), (F.col("first") + F.col("high") + length).alias("end"))
@@ -345,8 +347,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
                 out.append((doc, h, removed, spans, hashlib.sha256(b"".join(left)).hexdigest()))
             yield pd.DataFrame(out, columns=["_doc", "_hash", "removed", "spans", "sha"])
 
-    texts = found.dropDuplicates(["_doc", "_hash"]).select("_doc", "_hash", "text")
-    done = texts.join(cuts, ["_doc", "_hash"]).mapInPandas(
+    done = found.select("_doc", "_hash", "text").join(cuts, ["_doc", "_hash"]).mapInPandas(
         keep, "_doc long, _hash long, removed long, spans long, sha string"
     )
     done = materialise(done, "removed")
