@@ -12,11 +12,15 @@ row per segment, written by Spark's committer so that a lost executor leaves no
 
 from __future__ import annotations
 
+import re
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -34,6 +38,26 @@ ID = np.dtype("<u4")
 # a character that stands between words that are encoded in one call, and words of a call
 MARK = "\x01"
 GROUP = 1024
+# characters by which byte-level tokenizers write the bytes from 0x80 on; all others stand for themselves
+BYTE_CHARS = {b: b + 0xA2 for b in range(0x80, 0xA1)} | {0xAD: 0x143}
+# lower-case letters of ASCII and Latin-1, which NFC leaves as they are
+WORD = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+# kinds of bytes: others, letters, punctuation, apostrophe (it may begin a piece with letters), digits
+OTHER, LETTER, CLOSING, APOSTROPHE, DIGIT = range(5)
+KIND = np.array(
+    [
+        LETTER if c.isalpha() else DIGIT if c.isdigit() else APOSTROPHE if c == "'" else CLOSING * (c in string.punctuation)
+        for c in map(chr, range(128))
+    ]
+    + [OTHER] * 128,
+    dtype=np.uint8,
+)
+# whether a piece ends between two neighbours of these kinds, whatever stands around them
+PARTS = np.zeros(25, dtype=bool)
+PARTS[[a * 5 + b for a in (LETTER, DIGIT) for b in (LETTER, CLOSING, APOSTROPHE, DIGIT) if not a == b == LETTER]] = True
+PARTS[[CLOSING * 5 + LETTER, CLOSING * 5 + DIGIT, APOSTROPHE * 5 + DIGIT]] = True
+# letters before such a byte bear no combining mark: ASCII and the leads of U+0080 to U+00FF
+UNMARKED = np.array([b < 0x80 or b in (0xC2, 0xC3) for b in range(256)])
 SCHEMA = (
     "part int, seq int, n_docs int, n_ids long, doc_ids array<long>, none array<boolean>, ends array<long>, "
     "chunks array<binary>, more array<binary>, ranks array<binary>"
@@ -113,48 +137,99 @@ def encode(ids: np.ndarray) -> tuple[list[bytes], list[bytes], list[bytes]]:
         rest = rest[goes]
 
 
+def parted(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-8 with unmarked letters in lower case and a space wherever a piece is sure to end, and before which
+    bytes these spaces came."""
+    old = np.frombuffer(data, dtype=np.uint8)
+    after = np.append(old[1:], np.uint8(0x20))
+    kind, new = KIND[old], old.copy()
+    lead = np.nonzero((old == 0xC3) & (after >= 0x80) & (after != 0x97) & (after != 0xB7))[0]
+    kind[lead] = kind[lead + 1] = LETTER
+    capital = (old >= 0x41) & (old <= 0x5A)
+    capital[lead + 1] = old[lead + 1] <= 0x9E
+    new[capital & UNMARKED[after]] |= 0x20
+    at = np.nonzero(PARTS[kind[:-1] * np.uint8(5) + kind[1:]])[0] + 1
+    return np.insert(new, at, 0x20), at
+
+
 class WordEncoder:
-    """Encodes texts with a tokenizer that never joins across spaces and line feeds.
+    """Encodes texts with a tokenizer that lower-cases, and never joins across white space, between letters
+    and punctuation (but for what an apostrophe begins) or digits.
 
-    Literals of special tokens in a text become those tokens, as the library does by default.
-    Each distinct stretch between them is encoded by the library once while it is remembered, as
-    the bytes of its ids. Words are remembered in two generations: those that come up again move
-    to the newer one, and the older one goes when the newer is full.
+    Texts are taken apart there first. Each distinct part is encoded by the library once while it is
+    remembered, as the bytes of its ids. Parts are remembered in two generations: those that come up
+    again move to the newer one, and the older one goes when the newer is full. A text with a literal
+    of a special token is encoded whole, and these become tokens, as the library does by default.
+
+    A part that is a word of letters goes straight to the library's model, as the byte characters that
+    the library's own steps would make of it; nothing is left for those steps to do.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
+        self.model = Tokenizer.from_file(path).model
+        self.model._resize_cache(0)  # words that come again are not asked for again
+        self.bytes_of = [i.to_bytes(ID.itemsize, "little") for i in range(self.tokenizer.get_vocab_size())]
+        self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
         (self.mark,) = self.ids(MARK)
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=ID)
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes many words in one call with a control character between them, whose id parts them."""
-        plain = [w for w in words if MARK not in w]
+    def learn(self, parts: list[str]) -> None:
+        """Encodes words of letters, and many others in one call with a control character between them, whose
+        id parts them."""
+        words = [p for p in parts if WORD.fullmatch(p)]
+        others = set(parts).difference(words)
+        spelt = " ".join(words).encode().decode("latin-1").translate(BYTE_CHARS).split(" ") if words else []
+        tokenize, bytes_of = self.model.tokenize, self.bytes_of
+        self.known.update(zip(words, [b"".join([bytes_of[t.id] for t in tokenize(w)]) for w in spelt], strict=True))
+        plain = [p for p in others if MARK not in p]
         for k in range(0, len(plain), GROUP):
             group = plain[k : k + GROUP]
             ids = self.ids(f" {MARK} ".join([*group, ""]))
             ends = np.nonzero(ids == self.mark)[0] * ID.itemsize
             starts = np.concatenate([[0], ends[:-1] + ID.itemsize])
             data = ids.tobytes()
-            parts = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
-            self.known.update(zip(group, parts, strict=True))
-        self.known.update((w, self.ids(w).tobytes()) for w in words if MARK in w)
+            own = [data[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+            self.known.update(zip(group, own, strict=True))
+        self.known.update((p, self.ids(p).tobytes()) for p in others if MARK in p)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
-        words = [t.replace("\n", " ").split(" ") for t in texts]
+    def ids_of(self, parts: list[str]) -> list[bytes]:
+        """The ids of each of these distinct parts."""
         if len(self.known) > KNOWN:
-            self.known, self.older = {}, self.known
-        fresh = set().union(*words).difference(self.known)
+            self.known, self.older = {"": b""}, self.known
+        fresh = set(parts).difference(self.known)
         again = fresh.intersection(self.older)
-        self.known.update((w, self.older[w]) for w in again)
+        self.known.update((p, self.older[p]) for p in again)
         self.learn(list(fresh.difference(again)))
-        known = self.known.__getitem__
-        return [b"".join(map(known, w)) for w in words]
+        return list(map(self.known.__getitem__, parts))
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        low = [t.lower() for t in texts]
+        whole = {i for i, t in enumerate(low) if any(s in t for s in self.special)}
+        raw = [b" " if i in whole else t.encode().replace(b"\n", b" ") + b" " for i, t in enumerate(texts)]
+        ends = np.cumsum([len(r) for r in raw])
+        data, spaces = parted(b"".join(raw))
+        offsets = np.concatenate([[0], ends + np.searchsorted(spaces, ends)])
+        rows = pa.LargeStringArray.from_buffers(len(raw), pa.py_buffer(offsets), pa.py_buffer(data))
+        lists = pc.split_pattern(rows, " ")
+        coded = lists.flatten().dictionary_encode()
+        own = self.ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+        # ids of the distinct parts behind each other, taken in the order of the texts
+        ids, sizes = np.frombuffer(b"".join(own), dtype=ID), np.array([len(i) for i in own]) // ID.itemsize
+        which = coded.indices.to_numpy()
+        counts = sizes[which]
+        ends = np.concatenate([[0], np.cumsum(counts)])
+        at = np.repeat((np.cumsum(sizes) - sizes)[which] - ends[:-1], counts) + np.arange(ends[-1])
+        data, cuts = ids[at].tobytes(), (ends[lists.offsets.to_numpy()] * ID.itemsize).tolist()
+        out = [data[s:e] for s, e in zip(cuts[:-1], cuts[1:], strict=True)]
+        for i in whole:
+            out[i] = self.ids(texts[i]).tobytes()
+        return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int) -> None:

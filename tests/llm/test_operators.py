@@ -214,6 +214,15 @@ def test_literals_of_special_tokens(spark):
     same(tokenfile.round_trip(rows, WORDS, 2).select("doc_id", "start", "n_tokens", "ids_crc32").collect(), want)
 
 
+def test_token_parts_are_encoded_once():
+    texts = ["The house, the HOUSE. (house)\nhouse 2024", "Été, été!", "J\u030c's well-known don't", "<|ENDOFTEXT|> a,\u0338b", ""]
+    lib, encoder = Tokenizer.from_file(WORDS), tokenfile.WordEncoder(WORDS)
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+    assert encoder.encode(texts[:1]) == want[:1]
+    assert set(encoder.known) == {"", "the", "house", ",", ".", "(", ")", "2", "0", "4"}
+    assert encoder.encode(texts) == want
+
+
 def test_token_codes():
     rng = np.random.default_rng(5)
     ids = rng.choice([1, 200, 256, 70000, 2**31], 5000)
