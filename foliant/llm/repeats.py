@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ordered import lookup
-from ..session import materialise
+from ..session import materialise, shuffles_dropped
 from .common import bounded_batches, whole
 
 LENGTH = 200
@@ -297,19 +297,11 @@ def _counted_windows(strings: DataFrame, length: int) -> DataFrame:
     return hit.select("a", "b", F.col("at").alias("low"), F.col("at").alias("high")).distinct()
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text) what is left without repeated strings of ``length`` bytes.
-
-    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256. A byte goes if a string of ``length``
-    bytes that covers it also starts anywhere else, in the same text (also overlapping) or in any
-    other row. A null text counts as empty. Repeated rows are each other's repeats. Other columns
-    are ignored; no rows give no rows.
-    """
-    bounded_batches(docs.sparkSession)
-    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+def _removed(rows: DataFrame, length: int) -> DataFrame:
+    """_doc, _hash, removed, spans, sha: what goes from rows alike that hold a repeated string."""
     runs = materialise(named_runs(rows, length), "runs")
     again = materialise(runs.groupBy("name").agg(F.sum("n").alias("n")).where("n > 1"), "names")
-    frequent = again.where(F.col("n") > LARGEST_GROUP).limit(1).count() > 0
+    frequent = not again.where(F.col("n") > LARGEST_GROUP).isEmpty()
     runs = lookup(runs.drop("n"), again.select("name"), ["name"], "inner")
     runs = runs.groupBy("_doc", "_hash").agg(F.collect_set(F.struct("name", "first", "last")).alias("runs"))
     # rows alike are one from here on; the join is dealt as they are grouped, so texts travel once
@@ -350,7 +342,21 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     done = found.select("_doc", "_hash", "text").join(cuts, ["_doc", "_hash"]).mapInPandas(
         keep, "_doc long, _hash long, removed long, spans long, sha string"
     )
-    done = materialise(done, "removed")
+    return materialise(done, "removed")
+
+
+def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """Per row of ``docs`` (doc_id, text) what is left without repeated strings of ``length`` bytes.
+
+    Columns doc_id, n_bytes, n_removed, n_spans, kept_sha256. A byte goes if a string of ``length``
+    bytes that covers it also starts anywhere else, in the same text (also overlapping) or in any
+    other row. A null text counts as empty. Repeated rows are each other's repeats. Other columns
+    are ignored; no rows give no rows.
+    """
+    bounded_batches(docs.sparkSession)
+    rows = docs.select("doc_id", whole(F.col("text")).alias("text"))
+    with shuffles_dropped(docs.sparkSession):
+        done = _removed(rows, length)
     text = F.col("text")
     every = rows.select("doc_id", *_row(), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("own"))
     return every.join(done, ["_doc", "_hash"], "left").select(

@@ -1,5 +1,7 @@
 """Repeated byte strings where rows repeat."""
 
+import time
+
 import numpy as np
 
 from foliant.llm import repeats
@@ -26,3 +28,25 @@ def test_rows_alike_are_written_once(spark, monkeypatch):
     assert sorted(got, key=order) == sorted(want, key=order)
     found = written["repeats"].collect()
     assert len(found) == 6 and sorted(r.copies for r in found) == [1, 1, 1, 1, 1, 9]
+
+
+def test_shuffles_of_finished_steps_are_dropped(spark):
+    def files():
+        manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+        every = manager.getAllFiles().iterator()
+        names = []
+        while every.hasNext():
+            names.append(every.next().getName())
+        return {n for n in names if n.startswith("shuffle_") and n.endswith(".data")}
+
+    text = "".join(chr(97 + i * i % 23) for i in range(300))
+    rows = spark.createDataFrame([(1, text), (2, "x" + text), (3, "short"), (4, None)], "doc_id long, text string")
+    before = files()
+    left = repeats.remove_repeats(rows)
+    for _ in range(50):
+        more = files() - before
+        if not more:
+            break
+        time.sleep(0.2)
+    assert not more
+    assert {r.doc_id: r.n_removed > 0 for r in left.collect()} == {1: True, 2: True, 3: False, 4: False}
