@@ -7,7 +7,7 @@ occurs twice (or whose gram does, in periodic text) can repeat; their bytes (fro
 to the task of their name, equal strings once with their number.
 
 There a suffix array of the strings is built. Suffixes smaller than their successors are sorted
-directly, eight bytes at a time and only as far as ties need; all others are induced by one scan
+directly, by ranks of ever longer stretches (8, 24, 72, 200 bytes); all others are induced by one scan
 over the buckets of first bytes, each placed when its successor is passed. Neighbours with a
 common prefix of 200 bytes are the repeated windows, compared as bytes and not as hashes.
 
@@ -36,6 +36,8 @@ GRAM = 32
 # bytes of strings in one suffix array, and distinct strings of one name that a task sorts
 CHUNK_BYTES = 1 << 21
 LARGEST_GROUP = 20_000
+# bits of a sort key that is made of ranks
+KEY_BITS = 64
 # strings that a map task holds to count equal ones
 HELD = 1 << 15
 
@@ -86,25 +88,32 @@ def words_at(text: np.ndarray) -> np.ndarray:
     return padded
 
 
+def ranks(key: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal keys, larger ones for larger keys."""
+    order = np.argsort(key)
+    key = key[order]
+    out = np.zeros(len(key), dtype=np.uint64)
+    out[order[1:]] = np.cumsum(key[1:] != key[:-1])
+    return out
+
+
 def sort_directly(at: np.ndarray, eight: np.ndarray, depth: int) -> np.ndarray:
-    """The suffixes at these positions by their first ``depth`` bytes; only ties read on."""
-    at = at[np.argsort(eight[at], kind="stable")]
-    key = eight[at]
-    fresh = np.ones(len(at), dtype=bool)
-    fresh[1:] = key[1:] != key[:-1]
-    for off in range(8, depth, 8):
-        tied = ~fresh
-        tied[:-1] |= ~fresh[1:]
-        where = np.nonzero(tied)[0]
-        if not len(where):
-            break
-        group, key = np.cumsum(fresh)[where], eight[at[where] + off]
-        order = np.lexsort((key, group))
-        at[where], key = at[where][order], key[order]
-        differs = np.ones(len(where), dtype=bool)
-        differs[1:] = (key[1:] != key[:-1]) | (group[1:] != group[:-1])
-        fresh[where] |= differs
-    return at
+    """The suffixes at these positions by their first ``depth`` bytes: two or three ranks of shorter
+    stretches, which may overlap, are the key of a longer one."""
+    key, width = eight, 8
+    while width < depth:
+        rank = ranks(key)
+        bits = int(rank.max()).bit_length()
+        parts = 3 if 3 * bits <= KEY_BITS else 2
+        reach = min(depth, parts * width)
+        size, key = len(rank) - (reach - width), np.uint64(0)
+        for off in (0, width, reach - width) if reach > 2 * width else (0, reach - width):
+            piece = rank[at + off] if reach == depth else rank[off : off + size]
+            key = (key << np.uint64(bits)) | piece
+        width = reach
+        if reach == depth:
+            return at[np.argsort(key)]
+    return at[np.argsort(key[at])]
 
 
 def suffix_array(text: np.ndarray, depth: int = LENGTH) -> np.ndarray:

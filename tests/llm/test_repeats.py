@@ -50,3 +50,17 @@ def test_shuffles_of_finished_steps_are_dropped(spark):
         time.sleep(0.2)
     assert not more
     assert {r.doc_id: r.n_removed > 0 for r in left.collect()} == {1: True, 2: True, 3: False, 4: False}
+
+
+def test_direct_order_by_two_or_three_ranks(monkeypatch):
+    rng = np.random.default_rng(7)
+    raw = rng.integers(0, 256, 300, dtype=np.uint8).tobytes()
+    raw += b"\0" * 250 + b"ab" * 300 + raw[50:290] + b"a" * 220 + raw[40:299] + rng.integers(0, 2, 900, dtype=np.uint8).tobytes()
+    text = np.frombuffer(raw, dtype=np.uint8)
+    at, eight = np.arange(len(text)), repeats.words_at(text)
+    for bits in (64, 30):
+        monkeypatch.setattr(repeats, "KEY_BITS", bits)
+        for depth in (8, 13, 16, 40, 200):
+            order = repeats.sort_directly(at, eight, depth)
+            found = [raw[i : i + depth].ljust(depth, b"\0") for i in order]
+            assert found == sorted(found) and sorted(order) == at.tolist()
