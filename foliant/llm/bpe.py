@@ -6,13 +6,17 @@ leftmost pair of least rank: the pair becomes one id, the row is compacted by on
 the two pairs beside the new id are looked up, in an open-addressing hash table. Rows without a
 mergeable pair leave the matrix. A piece too long for a matrix takes all equal merges of a round
 at once, up to the first that makes a pair to be merged before the next one.
+
+Texts are split by arrays where the pattern is ``WORDLIKE``: the kind of every code point, then the
+borders of all pieces of a block. Pieces alike are found by a hash that is checked code point by
+code point, so only a block's distinct pieces become strings.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -21,16 +25,21 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, text_blocks
+from .common import bounded_batches, text_blocks, worker_memory
 
 NONE = np.int32(2**31 - 1)
 # pieces beyond this many bytes are merged one by one
 WIDEST = 256
 # cells of one matrix
 CELLS = 1 << 20
-# distinct pieces whose ids a task keeps
-KNOWN = 1 << 18
+# distinct pieces whose ids a worker keeps at least; twice as many at most, and those of a block
+KNOWN = 1 << 17
 SPREAD = np.uint64(0x9E3779B97F4A7C15)
+# the pattern whose pieces are found without the regex library
+WORDLIKE = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+LETTER, NUMBER, SPACE, OTHER = 1, 2, 3, 4
+# odd factors of the code points of a piece by their places, the last for all further places
+PLACES = np.random.default_rng(7).integers(0, 2**63, 1 << 10, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 class Ranks:
@@ -38,7 +47,9 @@ class Ranks:
 
     def __init__(self, path: str):
         with open(path, "rb") as f:
-            self.whole = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            raw = f.read()
+        self.digest = hashlib.sha256(raw).hexdigest()
+        self.whole = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines())}
         whole = self.whole
         self.single = np.array([whole[bytes([b])] for b in range(256)], dtype=np.int32)
         pairs = {
@@ -147,15 +158,15 @@ class Ranks:
             ranks[near] = self.rank(ids[near], ids[near + 1])
         return ids
 
-    def encode_pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """The ids of every piece; a piece that is itself in the vocabulary is one id."""
-        out: list[list[int]] = [[]] * len(pieces)
+    def encode_pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of every piece as little-endian 32-bit integers; a piece that is itself in the vocabulary is one id."""
+        out: list[bytes] = [b""] * len(pieces)
         buckets: dict[int, list[int]] = {}
         for i, p in enumerate(pieces):
             if (known := self.whole.get(p)) is not None:
-                out[i] = [known]
+                out[i] = known.to_bytes(4, "little")
             elif len(p) > WIDEST:
-                out[i] = self.merge_long(self.single[np.frombuffer(p, dtype=np.uint8)]).tolist()
+                out[i] = self.merge_long(self.single[np.frombuffer(p, dtype=np.uint8)]).astype("<i4").tobytes()
             else:
                 buckets.setdefault((len(p) - 1).bit_length(), []).append(i)
         for bits, members in buckets.items():
@@ -167,7 +178,7 @@ class Ranks:
                 ids = np.full((len(part), width), -1, dtype=np.int32)
                 ids[filled] = self.single[np.frombuffer(b"".join(pieces[i] for i in part), dtype=np.uint8)]
                 flat, counts = self.merge_rows(ids)
-                flat, ends = flat.tolist(), np.cumsum(counts).tolist()
+                flat, ends = flat.astype("<i4").tobytes(), (4 * np.cumsum(counts)).tolist()
                 for i, start, end in zip(part, [0, *ends], ends):  # noqa: B905
                     out[i] = flat[start:end]
         return out
@@ -180,22 +191,113 @@ class Ranks:
         return self.bytes[np.arange(total) + np.repeat(self.starts[ids] - ends + size, size)].tobytes()
 
 
+class Splitter:
+    """Cuts a block of texts into the pieces of ``WORDLIKE``, as the regex library does."""
+
+    def __init__(self):
+        self.kinds = np.zeros(0x110000, dtype=np.uint8)  # 0: not asked yet
+        self.tests = [(LETTER, regex.compile(r"\p{L}")), (NUMBER, regex.compile(r"\p{N}")), (SPACE, regex.compile(r"\s"))]
+
+    def kind(self, codes: np.ndarray) -> np.ndarray:
+        found = self.kinds[codes]
+        if not found.all():
+            for c in np.unique(codes[found == 0]).tolist():
+                self.kinds[c] = next((k for k, test in self.tests if test.match(chr(c))), OTHER)
+            found = self.kinds[codes]
+        return found
+
+    def starts(self, codes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+        """True at the first code point of each piece. ``begins``: True where a text begins, and behind the last."""
+        kind = self.kind(codes)
+        first = begins[:-1].copy()
+        first[1:] |= kind[1:] != kind[:-1]
+        # the last of a run of one kind, with more of the text behind it
+        inner = np.append(first[1:], True) & ~begins[1:]
+        # the last space before something else is a piece of its own, or the first of what follows
+        space = np.flatnonzero(inner & (kind == SPACE))
+        first[space] = True
+        first[space[codes[space] == ord(" ")] + 1] = False
+        # a contraction takes one or two letters from what follows
+        quote = np.flatnonzero(inner & first & (codes == ord("'")))
+        one = codes[quote + 1]
+        two = np.where(begins[quote + 2], 0, codes[np.minimum(quote + 2, len(codes) - 1)])
+        taken = np.isin(one, [ord(c) for c in "stmd"]).astype(np.int64)
+        for pair in ("re", "ve", "ll"):
+            taken[(one == ord(pair[0])) & (two == ord(pair[1]))] = 2
+        quote, taken = quote[taken > 0], taken[taken > 0]
+        first[quote + 1] = False
+        behind = quote + taken + 1
+        first[behind[behind < len(codes)]] = True
+        return first
+
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct pieces, the number of the distinct piece that each piece is, and each text's number of pieces."""
+        joined = "".join(texts)
+        ends = np.cumsum([len(t) for t in texts])
+        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
+        if not len(codes):
+            return [], np.zeros(0, dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        begins = np.zeros(len(codes) + 1, dtype=bool)
+        begins[0] = begins[ends] = True
+        at = np.flatnonzero(self.starts(codes, begins))
+        sizes = np.diff(at, append=len(codes))
+        place = np.arange(len(codes)) - np.repeat(at, sizes)
+        hashes = (codes.astype(np.uint64) + np.uint64(1)) * PLACES[np.minimum(place, len(PLACES) - 1)]
+        hashes = np.add.reduceat(hashes, at) * SPREAD
+        hashes ^= hashes >> np.uint64(32)
+        _, least, which = np.unique(hashes, return_index=True, return_inverse=True)
+        alike = np.array_equal(sizes[least][which], sizes)
+        if not alike or not np.array_equal(codes[np.repeat(at[least][which], sizes) + place], codes):
+            least = which = np.arange(len(at))  # different pieces with one hash: each stands for itself
+        pieces = [joined[s:e] for s, e in zip(at[least].tolist(), (at + sizes)[least].tolist(), strict=True)]
+        return pieces, which, np.diff(np.searchsorted(at, ends), prepend=0)
+
+
+def cut_by(pattern: str) -> Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]]:
+    """``Splitter.cut`` for any pattern."""
+    if pattern == WORDLIKE:
+        return Splitter().cut
+    split = regex.compile(pattern).findall
+
+    def cut(texts: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        pieces = [split(t) for t in texts]
+        number = {p: i for i, p in enumerate(dict.fromkeys(chain.from_iterable(pieces)))}
+        which = np.fromiter(map(number.__getitem__, chain.from_iterable(pieces)), dtype=np.int64)
+        return list(number), which, np.array([len(p) for p in pieces], dtype=np.int64)
+
+    return cut
+
+
 class Encoder:
     """Splits texts by a pattern and encodes every distinct piece once while it is remembered."""
 
     def __init__(self, ranks: Ranks, pattern: str):
-        self.ranks, self.split, self.known = ranks, regex.compile(pattern).findall, {}
+        self.ranks, self.cut, self.known, self.older = ranks, cut_by(pattern), {}, {}
 
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        pieces = [self.split(t) for t in texts]
-        fresh = list(set(chain.from_iterable(pieces)).difference(self.known))
-        if len(self.known) + len(fresh) > KNOWN:
-            self.known = {}
-            fresh = list(set(chain.from_iterable(pieces)))
+    def ids_of(self, pieces: list[str]) -> list[bytes]:
+        if len(self.known) > KNOWN:  # what is still in use comes back from the older ones
+            self.known, self.older = {}, self.known
+        known, older, fresh = self.known, self.older, []
+        for p in pieces:
+            if p not in known:
+                if (ids := older.get(p)) is None:
+                    fresh.append(p)
+                else:
+                    known[p] = ids
         encoded = self.ranks.encode_pieces([p.encode("utf-8", "surrogatepass") for p in fresh])
-        self.known.update(zip(fresh, encoded, strict=True))
-        known = self.known.__getitem__
-        return [np.array(list(chain.from_iterable(map(known, p))), dtype=np.int32) for p in pieces]
+        known.update(zip(fresh, encoded, strict=True))
+        return [known[p] for p in pieces]
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        pieces, which, per_text = self.cut(texts)
+        coded = self.ids_of(pieces)
+        flat = np.frombuffer(b"".join(coded), dtype="<i4")
+        sizes = np.array([len(c) >> 2 for c in coded], dtype=np.int64)
+        starts = np.cumsum(sizes) - sizes
+        count = sizes[which]
+        ends = np.cumsum(count)
+        ids = flat[np.arange(count.sum()) + np.repeat(starts[which] - ends + count, count)]
+        return np.split(ids, np.append(0, ends)[np.cumsum(per_text)][:-1])
 
 
 def encode_documents(
@@ -216,14 +318,15 @@ def encode_documents(
 
     @F.pandas_udf(schema)
     def coded(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value, pattern)
+        ranks = shared.value
+        encoder = worker_memory(f"pieces of {ranks.digest} by {pattern}", lambda: Encoder(ranks, pattern))
         for texts in batches:
             counts, codes, back, lists = [], [], [], []
             for _, block in text_blocks(texts.tolist()):
                 for ids in encoder.encode(block):
                     counts.append(len(ids))
                     codes.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                    back.append(hashlib.sha256(shared.value.decode(ids)).hexdigest())
+                    back.append(hashlib.sha256(ranks.decode(ids)).hexdigest())
                     if ids_column:
                         lists.append(ids)
             out = {"n_tokens": counts, "ids_sha256": codes, "decoded_sha256": back}

@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -99,6 +100,44 @@ def test_byte_bpe_long_pieces():
         assert ranks.decode(ids) == t.encode()
 
 
+def test_byte_bpe_pieces(monkeypatch):
+    """Pieces found by arrays are the regex library's, each distinct one is looked up once a block."""
+    assert bpe.WORDLIKE == P.PATTERN
+    split = regex.compile(P.PATTERN).findall
+    rng = np.random.default_rng(5)
+    some = list("  \t\n\r  ​'''stmdrevlSx12²½٣é日!?-_\0́𝒳")
+    blocks = [["".join(rng.choice(some, rng.integers(0, 30))) for _ in range(20)] for _ in range(150)]
+    blocks += [["", "x", ""], [""], ["it's 're'll", " 's", "'", "''s", "a  b", "a \n b ", "'s's", "x're", "x'l"]]
+
+    def check():
+        cut = bpe.Splitter().cut
+        for block in blocks:
+            pieces, which, count = cut(block)
+            got = np.split(which, np.cumsum(count)[:-1])
+            assert [[pieces[i] for i in w] for w in got] == [split(t) for t in block]
+
+    check()
+    pieces, which, _ = bpe.Splitter().cut(["the cat the cat", "the cat"])
+    assert sorted(pieces) == [" cat", " the", "the"] and len(which) == 6
+    monkeypatch.setattr(bpe, "PLACES", np.ones(2, dtype=np.uint64))  # different pieces with one hash
+    check()
+
+
+def test_byte_bpe_memory(monkeypatch):
+    """What is remembered stays bounded and does not change ids; a pattern of another form works as well."""
+    monkeypatch.setattr(bpe, "KNOWN", 50)
+    ranks = bpe.Ranks(RANKS)
+    lib = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks.whole, special_tokens={})
+    rng = np.random.default_rng(6)
+    texts = [" ".join("".join(rng.choice(list("abcde"), 4)) for _ in range(40)) + " the cat's" for _ in range(30)]
+    for encoder in (bpe.Encoder(ranks, P.PATTERN), bpe.Encoder(ranks, f"(?:{P.PATTERN})")):
+        for i in range(0, len(texts), 2):
+            for t, ids in zip(texts[i : i + 2], encoder.encode(texts[i : i + 2]), strict=True):
+                assert ids.tolist() == lib.encode_ordinary(t)
+            assert len(encoder.known) + len(encoder.older) <= 2 * (50 + 90)
+        assert [x.tolist() for x in encoder.encode(["", ""])] == [[], []]
+
+
 def test_quality_counts(spark, docs, none):
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
     got = quality.judge(docs, labels).collect()
